@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -131,3 +132,50 @@ def chunks(frames: Iterator[pd.DataFrame], column: str, size: int = CHUNK_BYTES)
         for i, j in zip(ends, ends[1:]):
             if j > i:
                 yield frame.iloc[i:j]
+
+
+class IdFilter:
+    """A bit map of fixed size that lets through every id of a set, and few others.
+
+    It goes before a shuffle join on ids, so that only the rows of interest, and not the whole
+    table with its texts, are shuffled. The map is 2 ** BITS bits however many ids there are
+    (fuller maps let more through; the join behind stays exact), so its broadcast is bounded.
+    """
+
+    BITS = 26
+
+    def __init__(self, ids: DataFrame, column: str):
+        self.ids, self.column = ids.select(column), column
+        spark, bits = ids.sparkSession, self.BITS
+        h = F.xxhash64(column)
+        at = F.explode(F.array(h.bitwiseAND((1 << bits) - 1), F.shiftrightunsigned(h, 64 - bits)))
+        words = self.ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("b")).toPandas()
+        table = np.zeros(1 << bits - 5, dtype=np.uint32)
+        table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+        sent = spark.sparkContext.broadcast(table)
+
+        @F.pandas_udf("boolean")
+        def hit(hashes: pd.Series) -> pd.Series:
+            v, t = hashes.to_numpy(np.int64).view(np.uint64), sent.value
+            low, high = v & np.uint64((1 << bits) - 1), v >> np.uint64(64 - bits)
+            both = (t[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32)) & (t[high >> np.uint64(5)] >> (high & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
+            return pd.Series(both.astype(bool))
+
+        self._hit = hit
+
+    def maybe(self) -> Column:
+        return self._hit(F.xxhash64(self.column))
+
+    def semi(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df`` whose id is in the set."""
+        return df.where(self.maybe()).join(self.ids.distinct().hint("shuffle_hash"), self.column, "left_semi")
+
+    def anti(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df`` whose id is not in the set; most of them are not shuffled."""
+        return df.where(~self.maybe()).unionByName(df.where(self.maybe()).join(self.ids.distinct().hint("shuffle_hash"), self.column, "left_anti"))
+
+    def left(self, df: DataFrame, more: DataFrame) -> DataFrame:
+        """``df`` left-joined to ``more``, which has one row for each id of the set."""
+        rest = [c for c in more.columns if c != self.column]
+        out = df.where(~self.maybe()).withColumns({c: F.lit(None).cast(more.schema[c].dataType) for c in rest})
+        return out.unionByName(df.where(self.maybe()).join(more.hint("shuffle_hash"), self.column, "left"))

@@ -23,6 +23,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "n_tokens")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -35,5 +47,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), length=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard, op7_language_id, op9_sharding, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
