@@ -134,32 +134,125 @@ def chunks(frames: Iterator[pd.DataFrame], column: str, size: int = CHUNK_BYTES)
                 yield frame.iloc[i:j]
 
 
-class IdFilter:
-    """A bit map of fixed size that lets through every id of a set, and few others.
+class BitMap:
+    """A set of 64-bit hashes as a bit map of fixed size: it may let in others, but misses none.
 
-    It goes before a shuffle join on ids, so that only the rows of interest, and not the whole
-    table with its texts, are shuffled. The map is 2 ** BITS bits however many ids there are
-    (fuller maps let more through; the join behind stays exact), so its broadcast is bounded.
+    It goes before a shuffle, so that only rows of interest move. It has 2 ** BITS bits however
+    many hashes there are: its broadcast is bounded, and a fuller map only lets more through to
+    the exact step behind it.
     """
 
     BITS = 26
 
-    def __init__(self, ids: DataFrame, column: str):
-        self.ids, self.column = ids.select(column), column
-        spark, bits = ids.sparkSession, self.BITS
-        h = F.xxhash64(column)
-        at = F.explode(F.array(h.bitwiseAND((1 << bits) - 1), F.shiftrightunsigned(h, 64 - bits)))
-        words = self.ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("b")).toPandas()
+    def __init__(self, spark: SparkSession, words: np.ndarray):
+        self.sent = spark.sparkContext.broadcast(words)
+
+    @classmethod
+    def places(cls, hashes: np.ndarray) -> np.ndarray:
+        """Two bits for each hash, both in the region of the shard that its highest bits name."""
+        h = hashes.view(np.uint64)
+        low = np.uint64((1 << cls.BITS - 8) - 1)
+        region = (h >> np.uint64(56)) << np.uint64(cls.BITS - 8)
+        return np.stack([region | (h & low), region | ((h >> np.uint64(24)) & low)])
+
+    @classmethod
+    def of_repeated(cls, df: DataFrame, hashes) -> "BitMap":
+        """The hashes that ``hashes`` (frames -> arrays) yields at least twice over all of ``df``.
+
+        Tasks send packed hashes, by 256 shards, each once for a run of rows with a mark if it
+        recurs there; each shard's region of the map is made where the shard is gathered.
+        """
+        held = 1 << 19
+
+        def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def sent(arrays: list[np.ndarray]) -> pd.DataFrame:
+                h, n = np.unique(np.concatenate(arrays), return_counts=True)
+                cuts = np.searchsorted(h >> np.uint64(56), np.arange(257, dtype=np.uint64))
+                rows = []
+                for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                    if j > i:
+                        rows.append((k, h[i:j].tobytes(), h[i:j][n[i:j] > 1].tobytes()))
+                return pd.DataFrame(rows, columns=["shard", "h", "twice"])
+
+            arrays, total = [], 0
+            for x in hashes(frames):
+                arrays.append(x)
+                total += len(x)
+                if total > held:
+                    yield sent(arrays)
+                    arrays, total = [], 0
+            if total:
+                yield sent(arrays)
+
+        bits = cls.BITS
+
+        def region(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # One frame's blobs at a time: hashes met once wait, sorted, for a second meeting.
+            once: dict[int, list[np.ndarray]] = {}
+            words: dict[int, np.ndarray] = {}
+
+            def mark(k: int, h: np.ndarray) -> None:
+                at = cls.places(h).ravel() & np.uint64((1 << bits - 8) - 1)
+                np.bitwise_or.at(words.setdefault(k, np.zeros(1 << bits - 13, dtype=np.uint32)), at >> np.uint64(5), np.uint32(1) << (at & np.uint64(31)).astype(np.uint32))
+
+            def settle(k: int) -> None:
+                h, n = np.unique(np.concatenate(once[k]), return_counts=True)
+                mark(k, h[n > 1])
+                once[k] = [h]
+
+            for frame in frames:
+                for k, h, twice in zip(frame["shard"].tolist(), frame["h"].tolist(), frame["twice"].tolist()):
+                    once.setdefault(k, []).append(np.frombuffer(h, dtype=np.uint64))
+                    mark(k, np.frombuffer(twice, dtype=np.uint64))
+                for k in once:
+                    if len(once[k]) > 64:
+                        settle(k)
+            for k in once:
+                settle(k)
+                yield pd.DataFrame({"shard": [k], "words": [words[k].tobytes()]})
+
+        spark = df.sparkSession
+        packed = df.mapInPandas(pack, "shard int, h binary, twice binary")
+        regions = packed.repartition(min(256, 4 * shuffle_width(spark)), "shard").mapInPandas(region, "shard int, words binary")
+        table = np.zeros((256, 1 << bits - 13), dtype=np.uint32)
+        for r in regions.toLocalIterator():  # 256 regions of fixed size
+            table[r["shard"]] |= np.frombuffer(r["words"], dtype=np.uint32)
+        return cls(spark, table.ravel())
+
+    @classmethod
+    def of_hashes(cls, df: DataFrame, column: str) -> "BitMap":
+        """The hashes in a long column."""
+        bits = cls.BITS
+        region = F.shiftleft(F.shiftrightunsigned(column, 56), bits - 8)
+        low = F.lit((1 << bits - 8) - 1)
+        at = F.explode(F.array(region.bitwiseOR(F.col(column).bitwiseAND(low)), region.bitwiseOR(F.shiftrightunsigned(column, 24).bitwiseAND(low))))
+        words = df.select(at.alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("b")).toPandas()  # 2 ** (BITS - 5) rows at most
         table = np.zeros(1 << bits - 5, dtype=np.uint32)
         table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
-        sent = spark.sparkContext.broadcast(table)
+        return cls(df.sparkSession, table)
+
+    def reader(self):
+        """A function for tasks: hashes -> which of them may be in the set."""
+        sent, places = self.sent, self.places
+
+        def hits(hashes: np.ndarray) -> np.ndarray:
+            table = sent.value
+            a, b = (table[p >> np.uint64(5)] >> (p & np.uint64(31)).astype(np.uint32) for p in places(hashes))
+            return (a & b & np.uint32(1)).astype(bool)
+
+        return hits
+
+
+class IdFilter:
+    """A ``BitMap`` of ids before shuffle joins on them, so that the rest of a table, with its texts, stays where it is."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        self.ids, self.column = ids.select(column), column
+        hits = BitMap.of_hashes(self.ids.select(F.xxhash64(column).alias("h")), "h").reader()
 
         @F.pandas_udf("boolean")
         def hit(hashes: pd.Series) -> pd.Series:
-            v, t = hashes.to_numpy(np.int64).view(np.uint64), sent.value
-            low, high = v & np.uint64((1 << bits) - 1), v >> np.uint64(64 - bits)
-            both = (t[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32)) & (t[high >> np.uint64(5)] >> (high & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
-            return pd.Series(both.astype(bool))
+            return pd.Series(hits(hashes.to_numpy(np.int64)))
 
         self._hit = hit
 
@@ -174,8 +267,13 @@ class IdFilter:
         """The rows of ``df`` whose id is not in the set; most of them are not shuffled."""
         return df.where(~self.maybe()).unionByName(df.where(self.maybe()).join(self.ids.distinct().hint("shuffle_hash"), self.column, "left_anti"))
 
-    def left(self, df: DataFrame, more: DataFrame) -> DataFrame:
-        """``df`` left-joined to ``more``, which has one row for each id of the set."""
-        rest = [c for c in more.columns if c != self.column]
+    def inner(self, df: DataFrame, more: DataFrame, on: list[str] | None = None) -> DataFrame:
+        """``df`` joined to ``more``, whose ids are in the set."""
+        return df.where(self.maybe()).join(more.hint("shuffle_hash"), on or [self.column])
+
+    def left(self, df: DataFrame, more: DataFrame, on: list[str] | None = None) -> DataFrame:
+        """``df`` left-joined to ``more``, which has one row for each id of the set (or for each value of ``on``)."""
+        on = on or [self.column]
+        rest = [c for c in more.columns if c not in on]
         out = df.where(~self.maybe()).withColumns({c: F.lit(None).cast(more.schema[c].dataType) for c in rest})
-        return out.unionByName(df.where(self.maybe()).join(more.hint("shuffle_hash"), self.column, "left"))
+        return out.unionByName(df.where(self.maybe()).join(more.hint("shuffle_hash"), on, "left"))

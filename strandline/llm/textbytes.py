@@ -39,15 +39,27 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 #: What stands for each byte in rolling hashes, so that they do not follow byte values.
 _symbol = mix(np.arange(1, 257, dtype=np.uint64))
+#: For second hashes that are independent of the first ones.
+_other_symbol = mix(np.arange(1001, 1257, dtype=np.uint64))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, second: bool = False) -> np.ndarray:
     """H with H[j] - H[i] = the hash of data[i:j] times BASE ** i; see ``span_hash``."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_symbol[data] * powers(len(data)), out=out[1:])
+    return prefix_of((_other_symbol if second else _symbol)[data])
+
+
+def prefix_of(symbols: np.ndarray) -> np.ndarray:
+    """The same over numbers that already stand for the symbols."""
+    out = np.zeros(len(symbols) + 1, dtype=np.uint64)
+    np.cumsum(symbols * powers(len(symbols)), out=out[1:])
     return out
 
 
+def gram_hashes(prefix: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of all runs of q symbols."""
+    return mix((prefix[q:] - prefix[:-q]) * powers(len(prefix) - q, inverse=True))
+
+
 def span_hash(prefix: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans [i, j), equal for equal bytes wherever they stand."""
     return mix((prefix[j] - prefix[i]) * powers(len(prefix), inverse=True)[i] + (j - i).astype(np.uint64))
