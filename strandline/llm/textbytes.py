@@ -71,12 +71,8 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
 
-def word_shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``width`` words, text by text, and where each text's runs begin.
-
-    Words are runs of bytes other than space and 9 to 13, with A-Z lowered. A text with fewer
-    words than ``width`` has its whole sequence as one run; one without words has none.
-    """
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, text by text, and where each text's words begin."""
     # A blank closes every text, so that no word crosses from one to the next.
     data, starts = joined([t + b" " for t in texts])
     data = _lower[data]
@@ -85,8 +81,16 @@ def word_shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarra
     if len(data) and not blank[0]:
         edge = np.concatenate([[0], edge])
     begin, end = edge[0::2], edge[1::2]
-    words = span_hash(prefix_hash(data), begin, end)
-    first = np.searchsorted(begin, starts)
+    return span_hash(prefix_hash(data), begin, end), np.searchsorted(begin, starts)
+
+
+def word_shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``width`` words, text by text, and where each text's runs begin.
+
+    Words are runs of bytes other than space and 9 to 13, with A-Z lowered. A text with fewer
+    words than ``width`` has its whole sequence as one run; one without words has none.
+    """
+    words, first = word_hashes(texts)
     n_words = np.diff(first)
     n_runs = np.where(n_words >= width, n_words - width + 1, (n_words > 0).astype(np.int64))
     out_starts = np.zeros(len(texts) + 1, dtype=np.int64)
