@@ -44,6 +44,7 @@ def materialize(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     gets the path, and calls ``drop``.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(drop, spark, path)
@@ -52,6 +53,13 @@ def materialize(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python tasks take this many rows at once at most: rows with whole texts are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
