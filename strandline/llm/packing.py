@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_global_rank
+from .common import materialize, small_batches, with_global_rank
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -195,7 +195,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 1024) -> DataF
     offset. Null and empty texts are one piece of one id; repeated rows are packed each; a
     null doc_id stays null; an empty table gives no rows; other columns are not read.
     """
-    return pack(tokenized_pieces(docs, tokenizer, length), length)
+    small_batches(docs.sparkSession)
+    # Ranking reads the pieces twice; the texts are encoded once.
+    return pack(materialize(tokenized_pieces(docs, tokenizer, length)), length)
 
 
 def sequence_ids(docs: DataFrame, placed: DataFrame, tokenizer: str, length: int = 1024) -> DataFrame:
