@@ -103,11 +103,14 @@ def inert_beliefs(beliefs: DataFrame) -> DataFrame:
 
 def host_of(nodes: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(id, host): the only host at the nearest of two levels along placing edges; null where there is none or several."""
-    placing = both_ways(relations.where(F.col("type").isin("runs_on", "has_interface", "bound_to", "listens_on")))
-    hosts = entities.where("type = 'host'").select(F.col("id").alias("dst"))
-    found = reach(nodes, placing, 2).withColumnRenamed("node", "dst").join(hosts, "dst", "left_semi")
-    level = found.groupBy("root", "depth").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("host"))
-    first = level.groupBy("root").agg(F.min_by(F.struct("n", "host"), "depth").alias("at"))
-    own = entities.where("type = 'host'").select(F.col("id"), F.col("id").alias("self"))
-    out = nodes.select("id").join(first, F.col("id") == F.col("root"), "left").join(own, "id", "left")
-    return out.select("id", F.coalesce("self", F.when(F.col("at.n") == 1, F.col("at.host"))).alias("host"))
+    placing = both_ways(relations.where(F.col("type").isin("runs_on", "has_interface", "bound_to", "listens_on"))).select("src", "dst")
+    hosts = entities.where("type = 'host'").select("id")
+    to_host = cut_lineage(placing.join(hosts.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst").distinct())
+    pick = lambda df: df.groupBy("id").agg(F.count_distinct("host").alias("n"), F.min("host").alias("host"))
+    rest = nodes.select("id").join(hosts, "id", "left_anti")
+    near = cut_lineage(pick(rest.join(to_host, F.col("id") == F.col("src")).select("id", F.col("dst").alias("host"))))
+    # Only what has no host next to it looks one edge further, and there only at edges that lead to hosts.
+    middle = rest.join(near, "id", "left_anti").join(placing, F.col("id") == F.col("src")).select("id", F.col("dst").alias("mid")).distinct()
+    far = pick(middle.join(to_host, F.col("mid") == F.col("src")).select("id", F.col("dst").alias("host")))
+    found = near.union(far).where("n = 1").select("id", "host").union(nodes.select("id").join(hosts, "id", "left_semi").select("id", F.col("id").alias("host")))
+    return nodes.select("id").join(found, "id", "left")
