@@ -116,11 +116,17 @@ class ItemIndex:
         band = (at - starts[of] - self.place[which] + shift) // step
         wide = int(band.max(initial=0)) + 2
         key = (of * len(self.ids) + item) * wide + band
-        found, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-        owner = found // wide
-        keep = count >= self.least[owner % len(self.ids)]
+        keys, places = np.concatenate([key, key - 1]), np.tile(self.place[which], 2)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        heads = np.flatnonzero(np.diff(keys, prepend=-2))
+        count = np.diff(np.append(heads, len(keys)))
+        enough = np.flatnonzero(count >= self.least[keys[heads] // wide % len(self.ids)])
+        # The lemma speaks of different q-grams of the item: a text that repeats itself has one many times.
+        kept = [keys[h] for h, n in zip(heads[enough], count[enough]) if len(np.unique(places[order[h : h + n]])) >= self.least[keys[h] // wide % len(self.ids)]]
+        found = np.array(kept, dtype=np.int64)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for o, b in zip(owner[keep].tolist(), (found[keep] % wide).tolist()):
+        for o, b in zip((found // wide).tolist(), (found % wide).tolist()):
             text, i = divmod(o, len(self.ids))
             k = int(self.budget[i])
             low = b * (k + 1) - shift
