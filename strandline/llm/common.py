@@ -164,8 +164,8 @@ class BitMap:
         return np.stack([region | (h & low), region | ((h >> np.uint64(24)) & low)])
 
     @classmethod
-    def of_repeated(cls, df: DataFrame, hashes) -> "BitMap":
-        """The hashes that ``hashes`` (frames -> arrays) yields at least twice over all of ``df``.
+    def of(cls, df: DataFrame, hashes, least: int) -> "BitMap":
+        """The hashes that ``hashes`` (frames -> arrays) yields at least once, or twice, over all of ``df``.
 
         Tasks send packed hashes, by 256 shards, each once for a run of rows with a mark if it
         recurs there; each shard's region of the map is made where the shard is gathered.
@@ -179,7 +179,7 @@ class BitMap:
                 rows = []
                 for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
                     if j > i:
-                        rows.append((k, h[i:j].tobytes(), h[i:j][n[i:j] > 1].tobytes()))
+                        rows.append((k, h[i:j].tobytes() if least > 1 else b"", h[i:j][n[i:j] >= least].tobytes()))
                 return pd.DataFrame(rows, columns=["shard", "h", "twice"])
 
             arrays, total = [], 0
@@ -227,18 +227,6 @@ class BitMap:
             table[r["shard"]] |= np.frombuffer(r["words"], dtype=np.uint32)
         return cls(spark, table.ravel())
 
-    @classmethod
-    def of_hashes(cls, df: DataFrame, column: str) -> "BitMap":
-        """The hashes in a long column."""
-        bits = cls.BITS
-        region = F.shiftleft(F.shiftrightunsigned(column, 56), bits - 8)
-        low = F.lit((1 << bits - 8) - 1)
-        at = F.explode(F.array(region.bitwiseOR(F.col(column).bitwiseAND(low)), region.bitwiseOR(F.shiftrightunsigned(column, 24).bitwiseAND(low))))
-        words = df.select(at.alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("b")).toPandas()  # 2 ** (BITS - 5) rows at most
-        table = np.zeros(1 << bits - 5, dtype=np.uint32)
-        table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
-        return cls(df.sparkSession, table)
-
     def reader(self):
         """A function for tasks: hashes -> which of them may be in the set."""
         sent, places = self.sent, self.places
@@ -256,7 +244,7 @@ class IdFilter:
 
     def __init__(self, ids: DataFrame, column: str):
         self.ids, self.column = ids.select(column), column
-        hits = BitMap.of_hashes(self.ids.select(F.xxhash64(column).alias("h")), "h").reader()
+        hits = BitMap.of(self.ids.select(F.xxhash64(column).alias("h")), lambda frames: (f["h"].to_numpy(np.int64).view(np.uint64) for f in frames), 1).reader()
 
         @F.pandas_udf("boolean")
         def hit(hashes: pd.Series) -> pd.Series:

@@ -89,7 +89,7 @@ def shared_anchors(keyed: DataFrame, length: int) -> BitMap:
             _, _, anchor = anchored_runs(data, starts, prefix_hash(data), length)
             yield anchor
 
-    return BitMap.of_repeated(keyed.select("text"), count)
+    return BitMap.of(keyed.select("text"), count, 2)
 
 
 def anchor_rows(keyed: DataFrame, shared: BitMap, length: int) -> DataFrame:
