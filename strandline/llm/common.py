@@ -87,32 +87,42 @@ def with_global_rank(df: DataFrame, order: list[str], rank: str) -> DataFrame:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of the links (a, b): rows (node, root) with the smallest node reachable.
 
-    Every round hooks each root onto the smallest root seen across a link and then lets nodes
-    jump to their root's root, so that rounds grow with the logarithm of a chain's length.
-    Links, labels and roots stay distributed; a round ends in a table in the shared folder.
+    In a round every node hooks onto its least neighbour, if that is smaller, chains are
+    shortened by pointer jumping, and links are contracted to those between roots. Half of the
+    nodes that still have links go in each round at least, and their links with them. All
+    tables stay distributed; each step ends in one in the shared folder.
     """
     spark = links.sparkSession
-    paths: list[str] = []
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    edges = materialize(both.union(both.select("v", "u")).distinct(), paths)
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    label = materialize(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"), paths)
-    while True:
-        # Star links: each node's root and the roots of its neighbours.
-        seen = edges.join(label.select(F.col("node").alias("v"), F.col("root").alias("other")), "v").groupBy(F.col("u").alias("node")).agg(F.min("other").alias("other"))
-        near = label.join(seen, "node").select("node", "root", F.least("root", "other").alias("low"))
-        hooks = near.groupBy(F.col("root").alias("at")).agg(F.min("low").alias("hook"))
-        moved = near.join(hooks, F.col("root") == F.col("at")).select("node", F.col("root").alias("was"), F.least("low", "hook").alias("root"))
-        up = moved.select(F.col("node").alias("at"), F.col("root").alias("above"))
-        jumped = moved.join(up, F.col("root") == F.col("at"), "left").select("node", "was", F.least("root", F.coalesce("above", "root")).alias("root"))
-        nxt = materialize(jumped, paths)
-        changed = nxt.where("was <> root").limit(1).count()
-        label = nxt.select("node", "root")
-        if len(paths) > 3:
-            drop(spark, paths.pop(-2) if len(paths) > 3 else "")
-        if not changed:
-            return label
+    old: list[str] = []
+
+    def step(df: DataFrame) -> DataFrame:
+        return materialize(df, old)
+
+    low_high = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(f"{a} <> {b}")
+    edges = step(low_high.distinct())
+    label = None
+    while label is None or not edges.isEmpty():
+        up = step(edges.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "node"))
+        while True:
+            above = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            up = step(up.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+            if up.where("moved").isEmpty():
+                break
+            up = up.drop("moved")
+        up = up.drop("moved")
+        to = lambda c: up.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        moved = edges.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("u_root", "u").alias("x"), F.coalesce("v_root", "v").alias("y"))
+        edges = step(moved.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+        if label is not None:
+            label = label.join(to("root"), "root", "left").select("node", F.coalesce("root_root", "root").alias("root"))
+            label = label.unionByName(up.join(label.select("node"), "node", "left_anti"))
+        else:
+            label = up
+        label = step(label)
+    out = materialize(label.unionByName(label.select(F.col("root").alias("node"), "root").distinct()))
+    for path in old:
+        drop(spark, path)
+    return out
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
