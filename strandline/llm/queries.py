@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sql import ORACLE_SQL  # noqa: F401
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -78,4 +80,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_ngram_jaccard, op4_suffix_dedup, op5_license_scan, op6_embedding_dedup, op7_language_id, op8_decontamination, op9_sharding, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
