@@ -39,14 +39,21 @@ def drop(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
-    Lost executors cost a reread, never a recomputation. The table goes when the driver's
-    process ends; a caller that knows it to be done with earlier passes ``keep``, which
-    gets the path, and calls ``drop``.
+    Lost executors cost a reread, never a recomputation. Shuffle files of the write go with
+    its end, as the table stands for them. The table goes when the driver's process ends; a
+    caller that knows it to be done with earlier passes ``keep``, which gets the path, and
+    calls ``drop``.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     atexit.register(drop, spark, path)
     if keep is not None:
         keep.append(path)
