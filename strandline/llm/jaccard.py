@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IdFilter, chunks, components, materialize, text_of
+from .common import IdFilter, chunks, components, drop, materialize, text_of
 from .textbytes import word_shingles
 
 #: Words of a shingle; two sets link when 100 * intersection >= 80 * union, that is
@@ -40,11 +40,12 @@ def set_classes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(digest, "doc_id long, n long, key binary")
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, old: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The most common shingles (sorted) and their counts, COMMON at most.
 
     Every task reports the shingles that recur within a run of its documents; their counts are
-    summed over the cluster and a histogram of counts gives the cut that keeps COMMON.
+    summed over the cluster and a histogram of counts gives the cut that keeps COMMON. ``old``
+    gets the table of counts.
     """
     def recurring(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(frames, "text", 16 << 20):
@@ -52,7 +53,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             token, n = np.unique(np.concatenate(own), return_counts=True)
             yield pd.DataFrame({"token": token[n > 2].view(np.int64), "n": n[n > 2]})
 
-    counts = materialize(docs.select(text_of().alias("text")).mapInPandas(recurring, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    counts = materialize(docs.select(text_of().alias("text")).mapInPandas(recurring, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), old)
     cut, total = 3, 0
     for r in counts.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():  # a few hundred steps
         total += r["k"]
@@ -134,22 +135,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nothing. Rows that share a doc_id count as one document for linking and each get a row;
     a row with a null doc_id takes part only through an equal set. An empty table gives no rows.
     """
-    classes = materialize(set_classes(docs))
+    old: list[str] = []
+    classes = materialize(set_classes(docs), old)
     reps = classes.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     by_class = materialize(classes.join(reps, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     copies = by_class.where("doc_id is null or doc_id <> rep or n = 0").select("doc_id")
     sources = IdFilter(copies, "doc_id").anti(docs.where("doc_id is not null").select("doc_id", "text"))
 
-    postings = prefix_postings(sources, common_shingles(sources))
+    postings = prefix_postings(sources, common_shingles(sources, old))
     by_size = Window.partitionBy("token").orderBy("n", "rep")
     beside = postings.withColumns({"before": F.lag("rep").over(by_size), "n_before": F.lag("n").over(by_size), "after": F.lead("rep").over(by_size)})
-    shared = materialize(beside.where("before is not null or after is not null").drop("after"))
-    sets = materialize(_stored_sets(IdFilter(shared.select(F.col("rep").alias("doc_id")), "doc_id").semi(docs.select("doc_id", "text"))))
+    shared = materialize(beside.where("before is not null or after is not null").drop("after"), old)
+    sets = materialize(_stored_sets(IdFilter(shared.select(F.col("rep").alias("doc_id")), "doc_id").semi(docs.select("doc_id", "text"))), old)
 
     tries = shared.where("before <> rep and 5 * n_before >= 4 * n").groupBy(F.col("before").alias("a"), F.col("rep").alias("b")).agg(F.min("pos").alias("pos"))
     nearest = Window.partitionBy("b").orderBy("pos", "a")
-    first = materialize(verified(tries.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= FIRST_TRIES).select("a", "b"), sets))
-    links = first.unionByName(materialize(verified(_unconnected(shared, first), sets)))
+    tries = materialize(tries.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= FIRST_TRIES).select("a", "b", "k"), old)
+    first = materialize(verified(tries.where("k = 1").select("a", "b"), sets), old)
+    for k in range(2, FIRST_TRIES + 1):  # only what no try has linked ships its set again
+        again = tries.where(F.col("k") == k).join(first.select("b"), "b", "left_anti").select("a", "b")
+        first = first.unionByName(materialize(verified(again, sets), old))
+    links = materialize(first.unionByName(verified(_unconnected(shared, first, old), sets)))
+    for path in old:
+        drop(docs.sparkSession, path)
 
     label = components(links, "a", "b").select(F.col("node").alias("rep"), "root")
     out = by_class.join(label, "rep", "left")
@@ -164,16 +172,17 @@ def _stored_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(store, "doc_id long, set binary").dropDuplicates(["doc_id"])
 
 
-def _unconnected(shared: DataFrame, links: DataFrame) -> DataFrame:
+def _unconnected(shared: DataFrame, links: DataFrame, old: list[str]) -> DataFrame:
     """Candidate pairs (a, b) of the prefix join whose documents ``links`` do not connect.
 
     The smaller set is looked up by its first n - ceil(8 n / 9) + 1 shingles only, sizes must
-    allow a link, and so must what is left behind the shared shingle in both sets.
+    allow a link, and so must what is left behind the shared shingle in both sets. ``old`` gets
+    the table that the pairs are read from.
     """
     label = components(links, "a", "b").select(F.col("node").alias("rep"), "root")
     placed = shared.select("token", "rep", "n", "pos").join(label, "rep", "left").withColumn("part", F.coalesce("root", "rep")).drop("root")
     mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    left = materialize(placed.join(mixed, "token", "left_semi"))
+    left = materialize(placed.join(mixed, "token", "left_semi"), old)
     x = left.where("pos < n - cast((8 * n + 8) / 9 as int) + 1").select("token", *[F.col(c).alias(f"{c}_x") for c in ("rep", "n", "pos", "part")])
     y = left.select("token", *[F.col(c).alias(f"{c}_y") for c in ("rep", "n", "pos", "part")])
     rule = "part_x <> part_y and (n_x < n_y or (n_x = n_y and rep_x < rep_y)) and 5 * n_x >= 4 * n_y and 9 * (1 + least(n_x - pos_x, n_y - pos_y) - 1) >= 4 * (n_x + n_y)"
