@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IdFilter, chunks, components, drop, materialize, text_of
+from .common import CHUNK_BYTES, IdFilter, chunks, components, drop, materialize, text_of
 from .textbytes import word_shingles
 
 #: Words of a shingle; two sets link when 100 * intersection >= 80 * union, that is
@@ -105,19 +106,28 @@ def _suffix_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
     return _suffix_bound(x[:i], y[:j], depth - 1) + _suffix_bound(x[i:], y[j:], depth - 1)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, after the suffix filter, by exact intersection."""
+def verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link, after the suffix filter, by exact intersection.
+
+    ``pairs`` is a table. Only texts that a pair names are shipped, packed: they take about a
+    third of the bytes of their shingles, which are made again beside the other text.
+    """
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for frame in chunks(frames, "ta", CHUNK_BYTES // 4):
+            held = dict(zip(frame["a"].tolist(), frame["ta"].tolist())) | dict(zip(frame["b"].tolist(), frame["tb"].tolist()))
+            sets = dict(zip(held, _sets([unpack(t) for t in held.values()])))
             keep = []
-            for x, y in zip(frame["sa"].tolist(), frame["sb"].tolist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            for a, b in zip(frame["a"].tolist(), frame["b"].tolist()):
+                x, y = sets[a], sets[b]
                 need = 4 * (len(x) + len(y))
                 keep.append(9 * _suffix_bound(x, y, 4) >= need and 9 * len(np.intersect1d(x, y, assume_unique=True)) >= need)
             yield frame.loc[keep, ["a", "b"]]
 
-    with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-    return with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
+    named = {c: IdFilter(pairs, c) for c in ("a", "b")}
+    with_a = named["a"].inner(packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("ta")), pairs)
+    of_b = packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("tb")).where(named["b"].maybe())
+    return with_a.join(of_b, "b").select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -136,6 +146,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     a row with a null doc_id takes part only through an equal set. An empty table gives no rows.
     """
     old: list[str] = []
+    spent: list[str] = []
     classes = materialize(set_classes(docs), old)
     reps = classes.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     by_class = materialize(classes.join(reps, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
@@ -145,17 +156,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     postings = prefix_postings(sources, common_shingles(sources, old))
     by_size = Window.partitionBy("token").orderBy("n", "rep")
     beside = postings.withColumns({"before": F.lag("rep").over(by_size), "n_before": F.lag("n").over(by_size), "after": F.lead("rep").over(by_size)})
-    shared = materialize(beside.where("before is not null or after is not null").drop("after"), old)
-    sets = materialize(_stored_sets(IdFilter(shared.select(F.col("rep").alias("doc_id")), "doc_id").semi(docs.select("doc_id", "text"))), old)
+    shared = materialize(beside.where("before is not null or after is not null").drop("after"), spent)
+    wanted = IdFilter(shared.select(F.col("rep").alias("doc_id")), "doc_id")
+    packed = materialize(_packed_texts(docs.where("doc_id is not null").where(wanted.maybe()), by_class), old)
 
     tries = shared.where("before <> rep and 5 * n_before >= 4 * n").groupBy(F.col("before").alias("a"), F.col("rep").alias("b")).agg(F.min("pos").alias("pos"))
     nearest = Window.partitionBy("b").orderBy("pos", "a")
     tries = materialize(tries.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= FIRST_TRIES).select("a", "b", "k"), old)
-    first = materialize(verified(tries.where("k = 1").select("a", "b"), sets), old)
-    for k in range(2, FIRST_TRIES + 1):  # only what no try has linked ships its set again
-        again = tries.where(F.col("k") == k).join(first.select("b"), "b", "left_anti").select("a", "b")
-        first = first.unionByName(materialize(verified(again, sets), old))
-    links = materialize(first.unionByName(verified(_unconnected(shared, first, old), sets)))
+    first = materialize(verified(tries.where("k = 1").select("a", "b"), packed), old)
+    for k in range(2, FIRST_TRIES + 1):  # only what no try has linked ships its text again
+        again = materialize(tries.where(F.col("k") == k).join(first.select("b"), "b", "left_anti").select("a", "b"), old)
+        first = first.unionByName(materialize(verified(again, packed), old))
+    rest = materialize(_unconnected(shared, first, spent), old)
+    for path in spent:
+        drop(docs.sparkSession, path)
+    links = materialize(first.unionByName(verified(rest, packed)))
     for path in old:
         drop(docs.sparkSession, path)
 
@@ -164,12 +179,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
 
-def _stored_sets(docs: DataFrame) -> DataFrame:
-    def store(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in chunks(frames, "text"):
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "set": [s.tobytes() for s in _sets(frame["text"].tolist())]})
-
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(store, "doc_id long, set binary").dropDuplicates(["doc_id"])
+def _packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, packed): one compressed text for each doc_id of ``docs``; ``ids`` has all ids, as often as they occur."""
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdCompressor()
+        for frame in frames:
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "packed": [packer.compress(t) for t in frame["text"].tolist()]})
+
+    packed = docs.select("doc_id", text_of().alias("text")).mapInPandas(pack, "doc_id long, packed binary")
+    again = ids.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null")
+    if again.isEmpty():
+        return packed
+    repeated = IdFilter(again, "doc_id").maybe()
+    return packed.where(~repeated).unionByName(packed.where(repeated).groupBy("doc_id").agg(F.min("packed").alias("packed")))
 
 
 def _unconnected(shared: DataFrame, links: DataFrame, old: list[str]) -> DataFrame:
