@@ -9,20 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitMap, IdFilter, chunks, materialize, text_of
+from .common import BitMap, IdFilter, chunks, drop, materialize, text_of
 from .textbytes import mix, word_hashes
 
 #: Of the trusted documents one in so many sets thresholds instead of counts.
 CALIBRATION = 8
 #: The quantile of trusted perplexities, language by language, up to which a document is kept.
 QUANTILE = 0.995
-#: Words that are told apart, the most frequent of all documents; another word is "unknown" and
-#: costs as much more as there are different such words. Bounds what is broadcast.
-VOCABULARY = 1 << 18
-#: Bigrams whose weights every task holds, those counted most; the others are joined. It bounds the
-#: broadcast and decides where a bigram is looked up, never whether.
+#: Words and bigrams of trusted text whose weights every task holds, those counted most; the others
+#: are joined. It bounds the broadcast and decides where a weight is looked up, never whether.
 HELD = 1 << 19
-_SHIFT = 32
+#: What stands for words outside a closed vocabulary, and for the end of a text, among word hashes.
+UNKNOWN, END = 0, 1
 
 
 def _at_most(table: DataFrame, most: int) -> tuple[int, DataFrame]:
@@ -48,19 +46,30 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(text_of().alias("text")).mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _ids(texts: list[bytes], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word, next word, words of each text) as numbers: 0 is unknown, len(vocabulary) + 1 the end of a text."""
+def _ids(texts: list[bytes], vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, next word, words of each text), words as hashes; without a vocabulary all words are told apart."""
     words, first = word_hashes(texts)
     n = np.diff(first)
-    at = np.searchsorted(vocabulary, words)
-    if len(vocabulary):
-        at = np.minimum(at, len(vocabulary) - 1)
-        ids = np.where(vocabulary[at] == words, at + 1, 0)
-    else:
-        ids = np.zeros(len(words), dtype=np.int64)
-    nxt = np.append(ids[1:], 0)
-    nxt[first[1:][n > 0] - 1] = len(vocabulary) + 1
-    return np.repeat(np.arange(len(texts)), n), ids, nxt[: len(ids)], n
+    if vocabulary is not None:
+        at = np.minimum(np.searchsorted(vocabulary, words), max(len(vocabulary) - 1, 0))
+        words = np.where(vocabulary[at] == words, words, np.uint64(UNKNOWN)) if len(vocabulary) else np.zeros(len(words), dtype=np.uint64)
+    nxt = np.append(words[1:], np.uint64(0))[: len(words)]
+    nxt[first[1:][n > 0] - 1] = END
+    return np.repeat(np.arange(len(texts)), n), words, nxt, n
+
+
+def _keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each bigram of word hashes."""
+    return mix(v ^ mix(w + np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``wanted`` are in the sorted ``keys``, and the places of those."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=bool), np.zeros(0, dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return hit, at[hit]
 
 
 def _discounts(t: dict[int, int]) -> np.ndarray:
@@ -75,92 +84,128 @@ class Model:
     """An interpolated modified Kneser-Ney bigram model, as weights that add up over a text.
 
     With P1 a word's continuation probability, interpolated with the uniform one, and g(v) what
-    context v leaves to unseen words, each word costs log P1(w) + log g(v); a bigram that was
-    counted has the weight log P(w | v) - log g(v) - log P1(w) more, and an unknown word the
-    log of the number of different unknown words less.
+    context v leaves to unseen words, a text of n words costs n + 1 times log P1 of a word that
+    trusted text lacks (``base``), ``end`` for its end, and the weights of its words and bigrams
+    that trusted text has: log P1(w) + log g(w) - base for each word, and
+    log P(w | v) - log g(v) - log P1(w) for each bigram. All words count; words, contexts and
+    weights are distributed tables keyed by hashes, of which tasks hold the ``held`` most frequent
+    rows. With ``size`` words outside the ``size`` most frequent ones are one unknown word, which
+    costs the log of the number of different unknown words more.
     """
 
     def __init__(self, docs: DataFrame, trusted: DataFrame, size: int | None = None, held: int | None = None):
-        counts = materialize(word_counts(docs))
-        _, known = _at_most(counts, VOCABULARY if size is None else size)
-        self.vocabulary = np.sort(known.select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64))  # VOCABULARY rows at most
-        self.kinds = max(counts.count() - len(self.vocabulary), 1)
-        sent = docs.sparkSession.sparkContext.broadcast(self.vocabulary)
+        spark, held = docs.sparkSession, HELD if held is None else held
+        old: list[str] = []
+        counts = materialize(word_counts(docs), old)
+        kinds = counts.count()
+        self.vocabulary, self.kinds = None, 1
+        if size is not None:
+            self.vocabulary = np.sort(_at_most(counts, size)[1].select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64))  # size rows at most
+            self.kinds, kinds = max(kinds - len(self.vocabulary), 1), len(self.vocabulary)
+        sent = spark.sparkContext.broadcast(self.vocabulary)
 
         def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in chunks(frames, "text", 8 << 20):
-                parts = [_ids(p["text"].tolist(), sent.value) for p in chunks(iter([frame]), "text")]
-                pair, n = np.unique(np.concatenate([(p[1] << _SHIFT) | p[2] for p in parts]), return_counts=True)
-                yield pd.DataFrame({"pair": pair, "n": n})
-
-        pairs = materialize(trusted.select(text_of().alias("text")).mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
-        v, w = F.shiftright("pair", _SHIFT), F.col("pair").bitwiseAND((1 << _SHIFT) - 1)
+                parts = [_ids(p["text"].tolist(), sent.value)[1:3] for p in chunks(iter([frame]), "text")]
+                v, w = (np.concatenate(x) for x in zip(*parts))
+                order = np.lexsort((w, v))
+                v, w = v[order], w[order]
+                first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]))[: len(v)])
+                yield pd.DataFrame({"v": v[first].view(np.int64), "w": w[first].view(np.int64), "n": np.diff(np.append(first, len(v)))})
+
+        drop(spark, old.pop())
+        pairs = materialize(trusted.select(text_of().alias("text")).mapInPandas(count, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")), old)
         times = {r["n"]: r["k"] for r in pairs.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}  # four rows
-        self.cut = _discounts(times)
-        # One row for each word at most, so VOCABULARY rows.
-        left = pairs.groupBy(v.alias("v")).agg(F.sum("n").alias("n"), *[F.count_if((F.col("n") == k) if k < 3 else (F.col("n") >= 3)).alias(f"n{k}") for k in (1, 2, 3)]).toPandas()
-        into = pairs.groupBy(w.alias("w")).agg(F.count("*").alias("k")).toPandas()
-        words = len(self.vocabulary) + 2
-        k = np.zeros(words, dtype=np.int64)
-        k[into["w"]] = into["k"]
-        self.empty = not k.sum()
-        values, n = np.unique(k[k > 0], return_counts=True)
-        cut = _discounts(dict(zip(values.tolist(), n.tolist())))[np.minimum(k, 3)]
-        types = max(int(k.sum()), 1)
-        self.p1 = (k - cut) / types + (cut.sum() or 1.0) / types / words
-        self.total, self.left = np.ones(words), np.ones(words)
-        self.total[left["v"]] = left["n"]
-        self.left[left["v"]] = (left[["n1", "n2", "n3"]].to_numpy() @ self.cut[1:]) / left["n"]
-        self.sent = docs.sparkSession.sparkContext.broadcast((self.p1, self.total, self.left, self.cut))
-
-        def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            p1, total, left, cut = self_sent.value
+        cut = _discounts(times)
+        zero, of = F.lit(0).cast("long"), lambda c: F.when(c, 1).otherwise(0).cast("long")
+        as_v = F.struct(F.col("v").alias("word"), "n", *[of((F.col("n") == k) if k < 3 else (F.col("n") >= 3)).alias(f"n{k}") for k in (1, 2, 3)], zero.alias("k"))
+        as_w = F.struct(F.col("w").alias("word"), zero.alias("n"), *[zero.alias(f"n{k}") for k in (1, 2, 3)], F.lit(1).cast("long").alias("k"))
+        words = pairs.select(F.explode(F.array(as_v, as_w)).alias("r")).select("r.*").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n1", "n2", "n3", "k")])
+        words = materialize(words.withColumnsRenamed({"n": "total"}).withColumn("n", F.greatest("total", "k")), old)
+        # Five rows at most.
+        into = {r["k"]: r["m"] for r in words.where("k > 0").groupBy(F.least("k", F.lit(5)).alias("k")).agg(F.count("*").alias("m")).collect()}
+        types = words.agg(F.sum("k")).first()[0] or 0
+        self.empty, types = not types, max(types, 1)
+        cut1 = _discounts({k: m for k, m in into.items() if k < 5})
+        share = (sum(m * cut1[min(k, 3)] for k, m in into.items()) or 1.0) / types / (kinds + 2)
+        self.base = float(np.log(share))
+        by = lambda c, cuts: F.element_at(F.array(*[F.lit(float(x)) for x in cuts]), (F.least(F.col(c), F.lit(3)) + 1).cast("int"))
+        p1 = (F.col("k") - by("k", cut1)) / types + share
+        left = sum(F.col(f"n{k}") * float(cut[k]) for k in (1, 2, 3)) / F.col("total")
+        words = words.select("word", "n", "total", F.when(F.col("total") > 0, left).otherwise(1.0).alias("left"), p1.alias("p1"))
+        ends = words.where(F.col("word") == END).select("p1").collect()  # one row at most
+        end_p1 = ends[0]["p1"] if ends else share
+        self.end = float(np.log(end_p1)) - self.base
+        least, most = _at_most(words, held)
+        near = most.toPandas().sort_values("word")  # held rows at most
+        near = spark.sparkContext.broadcast(tuple(near[c].to_numpy() for c in ("word", "total", "left", "p1")))
+        far = words.where(F.col("n") < least)
+
+        def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known, *columns = near.value
             for f in frames:
-                pair, n = f["pair"].to_numpy(), f["n"].to_numpy()
-                v, w = pair >> _SHIFT, pair & ((1 << _SHIFT) - 1)
-                rest = left[v] * p1[w]
-                yield pd.DataFrame({"pair": pair, "n": n, "weight": np.log(((n - cut[np.minimum(n, 3)]) / total[v] + rest) / rest)})
-
-        self_sent = self.sent
-        weights = materialize(pairs.mapInPandas(weigh, "pair long, n long, weight double"))
-        least, most = _at_most(weights, HELD if held is None else held)
-        near = most.select("pair", "weight").toPandas()  # HELD rows at most
-        order = np.argsort(near["pair"].to_numpy(np.int64))
-        self.held = near["pair"].to_numpy(np.int64)[order], near["weight"].to_numpy(np.float64)[order]
-        self.tail = weights.where(F.col("n") < least).select("pair", "weight")
+                v, w = f["v"].to_numpy(np.int64), f["w"].to_numpy(np.int64)
+                hit_v, at_v = _find(known, v)
+                hit_w, at_w = _find(known, w)
+                out = {"key": _keys(v.view(np.uint64), w.view(np.uint64)), "n": f["n"].to_numpy()}
+                for c, values, hit, at in zip(("total", "left", "p1"), columns, (hit_v, hit_v, hit_w), (at_v, at_v, at_w)):
+                    out[c] = np.full(len(f), np.nan)
+                    out[c][hit] = values[at]
+                out["p1"][w == END] = end_p1
+                lacks = np.isnan(out["p1"])
+                yield pd.DataFrame(out).assign(v=pd.array(v, dtype="Int64"), w=pd.array(w, dtype="Int64"), lack_v=~hit_v, lack_w=lacks)
+
+        # Frequent words are never joined on, so no key of these joins has many rows.
+        seen = pairs.mapInPandas(mark, "key long, n long, total double, left double, p1 double, v long, w long, lack_v boolean, lack_w boolean")
+        seen = materialize(seen.withColumns({c: F.when(F.col(f"lack_{c}"), F.col(c)) for c in ("v", "w")}), old)
+        drop(spark, old.pop(0))
+        from_v = seen.where("lack_v").drop("total", "left").join(far.select(F.col("word").alias("v"), "total", "left"), "v")
+        both = seen.where("not lack_v").unionByName(from_v.withColumn("total", F.col("total").cast("double")))
+        from_w = both.where("lack_w").drop("p1").join(far.select(F.col("word").alias("w"), "p1"), "w")
+        both = both.where("not lack_w").unionByName(from_w)
+        rest = F.col("left") * F.col("p1")
+        of_pairs = both.select("key", "n", F.log(((F.col("n") - by("n", cut)) / F.col("total") + rest) / rest).alias("weight"))
+        of_words = words.where(F.col("word") != END).select(F.col("word").alias("key"), "n", (F.log("p1") + F.log("left") - self.base).alias("weight"))
+        weights = materialize(of_pairs.unionByName(of_words))
+        for path in old:
+            drop(spark, path)
+        least, most = _at_most(weights, held)
+        near_weights = most.select("key", "weight").toPandas().sort_values("key")  # held rows at most
+        self.held = near_weights["key"].to_numpy(np.int64), near_weights["weight"].to_numpy(np.float64)
+        self.tail = weights.where(F.col("n") < least).select("key", "weight")
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, n_words and perplexity of each row (null without words or without a model)."""
     spark = docs.sparkSession
-    # Sizes are bounded: VOCABULARY words, HELD weights, and the map's bits.
-    sent = spark.sparkContext.broadcast((model.vocabulary, np.log(model.p1), np.log(model.left), *model.held, float(np.log(model.kinds))))
-    mixed = lambda pair: mix(pair.view(np.uint64))
-    rest = BitMap.of(model.tail.select("pair"), lambda frames: (mixed(f["pair"].to_numpy(np.int64)) for f in frames), 1).reader()
+    # Sizes are bounded: HELD weights, and the map's bits.
+    sent = spark.sparkContext.broadcast((model.vocabulary, *model.held))
+    base, end, unknown = model.base, model.end, float(np.log(model.kinds))
+    mixed = lambda key: mix(key.view(np.uint64))
+    rest = BitMap.of(model.tail.select("key"), lambda frames: (mixed(f["key"].to_numpy(np.int64)) for f in frames), 1).reader()
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, p1, left, keys, weights, unknown = sent.value
+        vocabulary, keys, weights = sent.value
         for frame in chunks(frames, "text"):
-            of, ids, nxt, n = _ids(frame["text"].tolist(), vocabulary)
-            cost = p1[nxt] + left[ids] - unknown * (ids == 0)
-            pair = (ids << _SHIFT) | nxt
-            hit = np.zeros(len(pair), dtype=bool)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-                hit = keys[at] == pair
-                cost[hit] += weights[at[hit]]
-            total = np.bincount(of, weights=cost, minlength=len(frame))
-            some = n > 0
-            # A text's first word has no context.
-            total[some] += p1[ids[(np.cumsum(n) - n)[some]]]
-            wait = np.flatnonzero(~hit)
-            wait = wait[rest(mixed(pair[wait]))]
-            cuts = np.searchsorted(of[wait], np.arange(1, len(frame)))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "lang": frame["lang"], "n_words": n, "total": total, "rest": np.split(pair[wait], cuts)})
+            of, words, nxt, n = _ids(frame["text"].tolist(), vocabulary)
+            total = base * (n + 1) + end
+            if vocabulary is not None:
+                total -= unknown * np.bincount(of[words == UNKNOWN], minlength=len(frame))
+            wait = []
+            for key in (words.view(np.int64), _keys(words, nxt)):
+                hit, at = _find(keys, key)
+                total += np.bincount(of[hit], weights=weights[at], minlength=len(frame))
+                left = np.flatnonzero(~hit)
+                left = left[rest(mixed(key[left]))]
+                wait.append((of[left], key[left]))
+            own, key = (np.concatenate(x) for x in zip(*wait))
+            order = np.argsort(own, kind="stable")
+            cuts = np.searchsorted(own[order], np.arange(1, len(frame)))
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "lang": frame["lang"], "n_words": n, "total": total, "rest": np.split(key[order], cuts)})
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text_of().alias("text")).mapInPandas(score, "doc_id long, lang string, n_words long, total double, rest array<long>")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()))  # written, so that numbers stay
-    tail = scored.select("row", F.explode("rest").alias("pair")).join(model.tail, "pair").groupBy("row").agg(F.sum("weight").alias("more"))
+    tail = scored.select("row", F.explode("rest").alias("key")).join(model.tail, "key").groupBy("row").agg(F.sum("weight").alias("more"))
     out = scored.drop("rest").join(tail, "row", "left")
     log_p = F.col("total") + F.coalesce("more", F.lit(0.0))
     known = F.lit(not model.empty) & (F.col("n_words") > 0)

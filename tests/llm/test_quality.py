@@ -88,3 +88,17 @@ def test_thresholds_and_odd_rows(spark):
     assert op.classify(frame(spark, []), labels).collect() == []
     none = op.classify(frame(spark, rows), labels.where("quality = 7")).collect()
     assert all(r["perplexity"] is None and r["keep"] == (r["n_words"] > 0) for r in none)
+
+
+def test_all_words_are_told_apart(spark, monkeypatch):
+    """No cap on words: those seen once, in trusted text or out of it, keep counts and probabilities of their own."""
+    assert not hasattr(op, "VOCABULARY")
+    monkeypatch.setattr(op, "HELD", 40)
+    texts = corpus(22, 90, 1500)
+    texts |= {1000 + i: f"rare{i} word{i} and rare{i} once{i}" for i in range(60)}
+    docs = frame(spark, [(i, t, "en") for i, t in texts.items()])
+    model = op.Model(docs, docs.where("doc_id % 2 = 1"))
+    assert len(model.held[0]) <= 40
+    want = brute(texts.values(), [t for i, t in texts.items() if i % 2], {w for t in texts.values() for w in tokens(t)})
+    for r in op.perplexities(docs, model).collect():
+        assert r["perplexity"] == (pytest.approx(want(texts[r["doc_id"]]), rel=1e-9) if tokens(texts[r["doc_id"]]) else None)
