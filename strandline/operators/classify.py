@@ -35,24 +35,45 @@ def entity_events(observed: DataFrame) -> DataFrame:
 
 
 def relation_events(observed: DataFrame, entities: DataFrame) -> DataFrame:
-    """Events of edges (type, from_id, to_id, attributes): added, changed; the same again gives none.
+    """Events of edges (type, from_id, to_id, attributes): added, changed, removed; the same again gives none.
 
-    Both ends must be entities; an edge of a missing end is left to ``parked``.
+    Rows are states, or by an optional kind also deletes: a producer's own, those of ``absences``
+    and those of ``liveness.cascade``, with their delete_source. A delete of what does not live
+    gives no event, and an edge that comes back is added again. Both ends must be entities; an
+    edge of a missing end is left to ``parked``.
     """
+    deletes = "kind" in observed.columns
+    if not deletes:
+        observed = observed.withColumn("kind", F.lit("state"))
     ids = entities.select("id")
     known = observed.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-    own = Window.partitionBy("type", "from_id", "to_id").orderBy(*ARRIVAL)
+    own = Window.partitionBy("type", "from_id", "to_id").orderBy(*ARRIVAL, "kind")
+    live = F.coalesce(F.lag("kind").over(own) == "state", F.lit(False))
     old = F.lag("attributes").over(own)
-    first = F.row_number().over(own) == 1
-    changed = F.when(~first, V.changed_keys(old, F.col("attributes")))
-    marked = known.withColumns({"__first": first, "changed_keys": changed})
-    return marked.withColumn("change_type", F.when(F.col("__first"), "relation.added").when(F.size("changed_keys") > 0, "relation.attribute_changed")).where("change_type is not null").drop("__first")
+    changed = F.when(live & (F.col("kind") == "state"), V.changed_keys(old, F.col("attributes")))
+    marked = known.withColumns({"__live": live, "changed_keys": changed})
+    state = F.when(~F.col("__live"), "relation.added").when(F.size("changed_keys") > 0, "relation.attribute_changed")
+    out = marked.withColumn("change_type", F.when(F.col("kind") == "state", state).when(F.col("__live"), "relation.removed")).where("change_type is not null")
+    if deletes:
+        said = F.col("delete_source") if "delete_source" in out.columns else F.lit(None).cast("string")
+        out = out.withColumn("delete_source", F.when(F.col("change_type") == "relation.removed", F.coalesce(said, F.lit("producer"))))
+    return out.drop("__live", "kind")
 
 
-def removed_by_absence(reports: DataFrame) -> DataFrame:
-    """(producer, scope, source, seq, target): targets that the speaker's report before had and this one lacks."""
+def removed_by_absence(reports: DataFrame, *more: str) -> DataFrame:
+    """(producer, scope, source, seq, target): targets that the speaker's report before had and this one lacks.
+
+    A report without targets (null or empty) removes all; ``more`` names columns of the report to keep.
+    """
     own = Window.partitionBy("producer", "scope", "source").orderBy("seq")
-    return reports.withColumn("gone", F.array_except(F.lag("targets").over(own), "targets")).select("producer", "scope", "source", "seq", F.explode("gone").alias("target"))
+    reports = reports.withColumn("targets", F.coalesce("targets", F.array().cast(reports.schema["targets"].dataType)))
+    return reports.withColumn("gone", F.array_except(F.lag("targets").over(own), "targets")).select("producer", "scope", "source", "seq", *more, F.explode("gone").alias("target"))
+
+
+def absences(reports: DataFrame) -> DataFrame:
+    """``removed_by_absence`` as deletes for ``relation_events``: reports have tenant, type, event_time_ns and recorded_at_ns too."""
+    gone = removed_by_absence(reports, "tenant", "type", "event_time_ns", "recorded_at_ns")
+    return gone.select("tenant", "type", F.col("source").alias("from_id"), F.col("target").alias("to_id"), "event_time_ns", "recorded_at_ns", "seq", F.lit("delete").alias("kind"), F.lit("producer").alias("delete_source"))
 
 
 def parked(edges: DataFrame, lives: DataFrame, patience_ns: int) -> DataFrame:

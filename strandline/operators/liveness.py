@@ -43,11 +43,11 @@ def lives(observed: DataFrame) -> DataFrame:
 
 
 def cascade(deleted: DataFrame, relations: DataFrame) -> DataFrame:
-    """The edges that go with deleted entities (id), once each."""
-    ids = deleted.select("id").distinct()
-    out = relations.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(*relations.columns)
-    into = relations.join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(*relations.columns)
-    return out.union(into.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_anti").select(*relations.columns)).withColumn("delete_source", F.lit("cascade"))
+    """Deletes, for ``relation_events``, of all edges of deleted entities (tenant, id, event_time_ns, recorded_at_ns, seq), once a deletion."""
+    edges = relations.select("tenant", "type", "from_id", "to_id").distinct()
+    when = lambda end: deleted.select("tenant", F.col("id").alias(end), "event_time_ns", "recorded_at_ns", "seq")
+    both = edges.join(when("from_id"), ["tenant", "from_id"]).unionByName(edges.where("from_id <> to_id").join(when("to_id"), ["tenant", "to_id"]))
+    return both.distinct().withColumns({"kind": F.lit("delete"), "delete_source": F.lit("cascade")})
 
 
 def speakers(observed: DataFrame, now_ns: int) -> DataFrame:
