@@ -26,9 +26,9 @@ def recent_changes(log: DataFrame, start_ns: int, end_ns: int, change_type: str
     return found.orderBy(F.desc("event_time_ns"), F.desc("seq"))
 
 
-def history(log: DataFrame, ids: list, since_ns: int | None = None, until_ns: int | None = None, known_ns: int | None = None) -> DataFrame:
-    """The events of some entities on both axes of time, oldest first."""
-    found = log.where(F.col("id").isin(*ids))
+def history(log: DataFrame, ids: list | None = None, since_ns: int | None = None, until_ns: int | None = None, known_ns: int | None = None) -> DataFrame:
+    """The events of some entities, or of all, on both axes of time, oldest first."""
+    found = log if ids is None else log.where(F.col("id").isin(*ids))
     for c, op in ((since_ns, ">="), (until_ns, "<=")):
         if c is not None:
             found = found.where(f"event_time_ns {op} {c}")
@@ -61,12 +61,12 @@ def net_changes(log: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
     return folded.withColumn("outcome", kind).where("outcome is not null").drop("began", "gone", "__first")
 
 
-def digest(log: DataFrame, start_ns: int, end_ns: int, examples: int = 5) -> DataFrame:
+def digest(log: DataFrame, start_ns: int, end_ns: int, examples: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
     """Changes of a closed window in groups of one shape: number, first and last time, newest examples, a stable id.
 
-    The examples are cut by rank before they are collected, so that no group gathers in a task.
+    ``by`` names columns whose values are scopes with a digest each. The examples are cut by rank before they are collected, so that no group gathers in a task.
     """
-    shape = ["change_type", "type", "keys", "scope", "delete_source"]
+    shape = [*by, "change_type", "type", "keys", "scope", "delete_source"]
     found = window(log, start_ns, end_ns, True).where(F.col("change_type") != HEARTBEAT)
     found = found.withColumns({"keys": F.array_join(F.array_sort("changed_keys"), ","), "delete_source": F.coalesce("delete_source", F.lit(""))})
     # Partial top-k: ranks within a salted part first, then among what is left.

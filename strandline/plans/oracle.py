@@ -138,3 +138,8 @@ _DOWN = RELS + ", down AS (SELECT t AS src, f AS dst, type FROM rels)"
 ORACLE_SQL["q16_neighbors_d2"] = f"WITH RECURSIVE {BOTH}, {_reach('both_ways', _NATIONS + ' WHERE n_nationkey < 3', 2)} SELECT root, node, depth, via FROM first WHERE depth > 0"
 ORACLE_SQL["q18_impact"] = f"WITH RECURSIVE {_DOWN}, {_reach('down', _NATIONS, 10)} SELECT root, depth, count(*) AS n FROM first WHERE depth > 0 GROUP BY ALL"
 ORACLE_SQL["q19_impact_by_type"] = f"WITH RECURSIVE {_DOWN}, {_reach('down', _NATIONS, 10)} SELECT root, CAST(node // {S} AS INTEGER) AS kind, count(*) AS n FROM first WHERE depth > 0 GROUP BY ALL"
+_REGIONS = f"SELECT {_node(0, 'r_regionkey')} AS id FROM region"
+ORACLE_SQL["q41_neighbors_d2_all"] = f"WITH RECURSIVE {BOTH}, {_reach('both_ways', _NATIONS, 2)} SELECT root, node, depth, via FROM first WHERE depth > 0"
+ORACLE_SQL["q42_shortest_hops_all"] = f"WITH RECURSIVE {BOTH}, {_reach('both_ways', _REGIONS, 4)} SELECT root, depth AS hops, count(*) AS n FROM first GROUP BY ALL"
+ORACLE_SQL["q43_digest_by_producer"] = f"WITH {LOG} " + _digest(T10 + 3 * DAY, "true", False).replace("change_type, type, keys, scope, delete_source", "producer, change_type, type, keys, scope, delete_source")
+ORACLE_SQL["q44_history_known_all"] = f"WITH {LOG} SELECT seq, id, change_type, event_time_ns, recorded_at_ns FROM log WHERE event_time_ns >= {T10} AND recorded_at_ns <= {T15}"

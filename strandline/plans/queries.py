@@ -244,4 +244,23 @@ def q40_contested_names(spark, d):
     return classify.contested_names(o.select("id", F.col("scope").alias("name"), F.col("event_time_ns").alias("at_ns"), "seq"), 3 * DAY)
 
 
+def q41_neighbors_d2_all(spark, d):
+    roots = estate.table(spark, d, "nation").select(estate.node("nation", "n_nationkey").alias("id"))
+    return traverse.reach(roots, traverse.both_ways(estate.relations(spark, d)), 2)
+
+
+def q42_shortest_hops_all(spark, d):
+    roots = estate.table(spark, d, "region").select(estate.node("region", "r_regionkey").alias("id"))
+    paths, _ = traverse.shortest_paths(roots, estate.relations(spark, d), estate.entities(spark, d).select("id", "type"), 4)
+    return paths.groupBy("root", "hops").agg(F.count("*").alias("n"))
+
+
+def q43_digest_by_producer(spark, d):
+    return changes.digest(_log(spark, d), T10, T10 + 3 * DAY, by=("producer",)).drop("group_id")
+
+
+def q44_history_known_all(spark, d):
+    return changes.history(_log(spark, d), None, T10, None, T15).select("seq", "id", "change_type", "event_time_ns", "recorded_at_ns")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}
