@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens."""
-    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), length=1024)
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), length=1024, added=True)
 
 
 STAGES = [("language_id", language_id), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("decontamination", decontamination), ("packing", packing)]

@@ -7,7 +7,7 @@ import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,19 +23,25 @@ class Encoder:
     """Ids of a tokenizers file.
 
     Byte-level BPE whose ids follow the order of its merges is encoded by tiktoken, which gives
-    the same ids in a sixth of the time; any other file by tokenizers itself.
+    the same ids in a sixth of the time; any other file, and a text that holds an added token
+    (as <|endoftext|>), by tokenizers itself. Without ``added`` such tokens are encoded as text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
+        with open(path, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f).get("added_tokens") or []] if added else []
+        self.path, self.as_text, self.ranks = path, not added, _rank_encoding(path)
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.ranks = _rank_encoding(path)
-        if self.ranks is None:
-            self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = self.as_text
+        return out
 
     def ids(self, text: str) -> np.ndarray:
-        if self.ranks is not None:
+        if self.ranks is not None and not any(t in text for t in self.added):
             return np.array(self.ranks.encode_ordinary(text), dtype="<u4")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -64,18 +70,18 @@ def _rank_encoding(path: str):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added: bool = False) -> Encoder:
+    return Encoder(path, added)
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0, added: bool = False) -> DataFrame:
     """Cut each document's ids (and a closing ``end_id``) into pieces of at most ``length`` ids.
 
     A null or empty text has the closing id alone. ids_crc32 is over the piece's ids as
     little-endian 32-bit numbers.
     """
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4")
+        enc, end = encoder(tokenizer, added), np.array([end_id], dtype="<u4")
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"].tolist()):
@@ -188,22 +194,22 @@ def pack(pieces: DataFrame, length: int) -> DataFrame:
     return ranked.mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = 1024, added: bool = False) -> DataFrame:
     """Tokenize all documents and pack them into sequences of at most ``length`` ids.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset. Null and empty texts are one piece of one id; repeated rows are packed each; a
+    offset. ``added`` gives added tokens in a text their own ids, as the file does by default. Null and empty texts are one piece of one id; repeated rows are packed each; a
     null doc_id stays null; an empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     # Ranking reads the pieces twice; the texts are encoded once.
-    return pack(materialize(tokenized_pieces(docs, tokenizer, length)), length)
+    return pack(materialize(tokenized_pieces(docs, tokenizer, length, added=added)), length)
 
 
-def sequence_ids(docs: DataFrame, placed: DataFrame, tokenizer: str, length: int = 1024) -> DataFrame:
+def sequence_ids(docs: DataFrame, placed: DataFrame, tokenizer: str, length: int = 1024, added: bool = False) -> DataFrame:
     """The packed sequences themselves: sequence_id and ids, whose length is at most ``length``."""
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(tokenizer), np.array([0], dtype="<u4")
+        enc, end = encoder(tokenizer, added), np.array([0], dtype="<u4")
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"].tolist()):

@@ -76,7 +76,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), length=1024)
+    return pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), length=1024, added=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_ngram_jaccard, op4_suffix_dedup, op5_license_scan, op6_embedding_dedup, op7_language_id, op8_decontamination, op9_sharding, op10_packing)}
