@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,14 +15,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy code takes at once; a longer document is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where that is unset (local runs)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a new one where that is unset (local runs only)."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
         found = sc.getCheckpointDir()
     return found
@@ -107,6 +110,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     low_high = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(f"{a} <> {b}")
     edges = step(low_high.distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
     label = None
     while label is None or not edges.isEmpty():
         up = step(edges.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "node"))
@@ -159,6 +164,19 @@ def chunks(frames: Iterator[pd.DataFrame], column: str, size: int = CHUNK_BYTES)
                 yield frame.iloc[i:j]
 
 
+def cut(texts: list, size: int = CHUNK_BYTES) -> Iterator[list]:
+    """``texts`` in runs of about ``size`` in length, in order."""
+    out, total = [], 0
+    for t in texts:
+        if out and total + len(t) > size:
+            yield out
+            out, total = [], 0
+        out.append(t)
+        total += len(t)
+    if out:
+        yield out
+
+
 class BitMap:
     """A set of 64-bit hashes as a bit map of fixed size: it may let in others, but misses none.
 
@@ -238,12 +256,16 @@ class BitMap:
 
         spark = df.sparkSession
         packed = df.mapInPandas(pack, "shard int, h binary, twice binary")
-        regions = packed.repartition(min(256, 4 * shuffle_width(spark)), "shard").mapInPandas(region, "shard int, words binary")
+        regions = packed.repartition(min(256, shuffle_width(spark)), "shard").mapInPandas(region, "shard int, words binary")
         table = np.zeros((256, 1 << bits - 13), dtype=np.uint32)
-        for r in regions.toLocalIterator():  # 256 regions of fixed size
+        for r in regions.collect():  # 256 regions of fixed size: 8 MB
             table[r["shard"]] |= np.frombuffer(r["words"], dtype=np.uint32)
         return cls(spark, table.ravel())
 
+    def free(self) -> None:
+        """Take the map off all executors; what is computed later must not ask it."""
+        self.sent.destroy()
+
     def reader(self):
         """A function for tasks: hashes -> which of them may be in the set."""
         sent, places = self.sent, self.places
@@ -257,11 +279,13 @@ class BitMap:
 
 
 class IdFilter:
-    """A ``BitMap`` of ids before shuffle joins on them, so that the rest of a table, with its texts, stays where it is."""
+    """A ``BitMap`` of keys before shuffle joins on them, so that the rest of a table, with its texts, stays where it is."""
 
-    def __init__(self, ids: DataFrame, column: str):
-        self.ids, self.column = ids.select(column), column
-        hits = BitMap.of(self.ids.select(F.xxhash64(column).alias("h")), lambda frames: (f["h"].to_numpy(np.int64).view(np.uint64) for f in frames), 1).reader()
+    def __init__(self, keys: DataFrame, *on: str):
+        self.on = list(on)
+        self.keys = keys.select(*on)
+        self.map = BitMap.of(self.keys.select(F.xxhash64(*on).alias("h")), lambda frames: (f["h"].to_numpy(np.int64).view(np.uint64) for f in frames), 1)
+        hits = self.map.reader()
 
         @F.pandas_udf("boolean")
         def hit(hashes: pd.Series) -> pd.Series:
@@ -270,23 +294,22 @@ class IdFilter:
         self._hit = hit
 
     def maybe(self) -> Column:
-        return self._hit(F.xxhash64(self.column))
+        return self._hit(F.xxhash64(*self.on))
 
     def semi(self, df: DataFrame) -> DataFrame:
-        """The rows of ``df`` whose id is in the set."""
-        return df.where(self.maybe()).join(self.ids.distinct().hint("shuffle_hash"), self.column, "left_semi")
+        """The rows of ``df`` whose key is in the set."""
+        return df.where(self.maybe()).join(self.keys.distinct().hint("shuffle_hash"), self.on, "left_semi")
 
     def anti(self, df: DataFrame) -> DataFrame:
-        """The rows of ``df`` whose id is not in the set; most of them are not shuffled."""
-        return df.where(~self.maybe()).unionByName(df.where(self.maybe()).join(self.ids.distinct().hint("shuffle_hash"), self.column, "left_anti"))
+        """The rows of ``df`` whose key is not in the set; most of them are not shuffled."""
+        return df.where(~self.maybe()).unionByName(df.where(self.maybe()).join(self.keys.distinct().hint("shuffle_hash"), self.on, "left_anti"))
 
-    def inner(self, df: DataFrame, more: DataFrame, on: list[str] | None = None) -> DataFrame:
-        """``df`` joined to ``more``, whose ids are in the set."""
-        return df.where(self.maybe()).join(more.hint("shuffle_hash"), on or [self.column])
+    def inner(self, df: DataFrame, more: DataFrame) -> DataFrame:
+        """``df`` joined to ``more``, whose keys are those of the set."""
+        return df.where(self.maybe()).join(more.hint("shuffle_hash"), self.on)
 
-    def left(self, df: DataFrame, more: DataFrame, on: list[str] | None = None) -> DataFrame:
-        """``df`` left-joined to ``more``, which has one row for each id of the set (or for each value of ``on``)."""
-        on = on or [self.column]
-        rest = [c for c in more.columns if c not in on]
+    def left(self, df: DataFrame, more: DataFrame) -> DataFrame:
+        """``df`` left-joined to ``more``, which has one row for each key of the set."""
+        rest = [c for c in more.columns if c not in self.on]
         out = df.where(~self.maybe()).withColumns({c: F.lit(None).cast(more.schema[c].dataType) for c in rest})
-        return out.unionByName(df.where(self.maybe()).join(more.hint("shuffle_hash"), on, "left"))
+        return out.unionByName(df.where(self.maybe()).join(more.hint("shuffle_hash"), self.on, "left"))
