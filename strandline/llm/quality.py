@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitMap, IdFilter, chunks, drop, materialize, text_of
+from .common import BitMap, IdFilter, bucketed, chunks, cut, drop, materialize, text_of
 from .textbytes import mix, word_hashes
 
 #: Of the trusted documents one in so many sets thresholds instead of counts.
@@ -18,7 +18,7 @@ CALIBRATION = 8
 QUANTILE = 0.995
 #: Words and bigrams of trusted text whose weights every task holds, those counted most; the others
 #: are joined. It bounds the broadcast and decides where a weight is looked up, never whether.
-HELD = 1 << 19
+HELD = 1 << 18
 #: What stands for words outside a closed vocabulary, and for the end of a text, among word hashes.
 UNKNOWN, END = 0, 1
 
@@ -116,7 +116,7 @@ class Model:
         drop(spark, old.pop())
         pairs = materialize(trusted.select(text_of().alias("text")).mapInPandas(count, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")), old)
         times = {r["n"]: r["k"] for r in pairs.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}  # four rows
-        cut = _discounts(times)
+        discounts = _discounts(times)
         zero, of = F.lit(0).cast("long"), lambda c: F.when(c, 1).otherwise(0).cast("long")
         as_v = F.struct(F.col("v").alias("word"), "n", *[of((F.col("n") == k) if k < 3 else (F.col("n") >= 3)).alias(f"n{k}") for k in (1, 2, 3)], zero.alias("k"))
         as_w = F.struct(F.col("w").alias("word"), zero.alias("n"), *[zero.alias(f"n{k}") for k in (1, 2, 3)], F.lit(1).cast("long").alias("k"))
@@ -131,48 +131,75 @@ class Model:
         self.base = float(np.log(share))
         by = lambda c, cuts: F.element_at(F.array(*[F.lit(float(x)) for x in cuts]), (F.least(F.col(c), F.lit(3)) + 1).cast("int"))
         p1 = (F.col("k") - by("k", cut1)) / types + share
-        left = sum(F.col(f"n{k}") * float(cut[k]) for k in (1, 2, 3)) / F.col("total")
+        left = sum(F.col(f"n{k}") * float(discounts[k]) for k in (1, 2, 3)) / F.col("total")
         words = words.select("word", "n", "total", F.when(F.col("total") > 0, left).otherwise(1.0).alias("left"), p1.alias("p1"))
         ends = words.where(F.col("word") == END).select("p1").collect()  # one row at most
         end_p1 = ends[0]["p1"] if ends else share
         self.end = float(np.log(end_p1)) - self.base
         least, most = _at_most(words, held)
-        near = most.toPandas().sort_values("word")  # held rows at most
-        near = spark.sparkContext.broadcast(tuple(near[c].to_numpy() for c in ("word", "total", "left", "p1")))
+        near = _columns(most, "word", "total", "left", "p1")  # held rows at most
+        sent_near = spark.sparkContext.broadcast(near)
         far = words.where(F.col("n") < least)
 
-        def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known, *columns = near.value
+        def known(f: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+            """The pairs with what tasks hold of their words, and which lack the context's or the word's numbers."""
+            held_words, total, left, p1 = sent_near.value
+            v, w = f["v"].to_numpy(np.int64), f["w"].to_numpy(np.int64)
+            (hit_v, at_v), (hit_w, at_w) = _find(held_words, v), _find(held_words, w)
+            out = {"key": _keys(v.view(np.uint64), w.view(np.uint64)), "n": f["n"].to_numpy(), "v": v, "w": w}
+            for c, values, hit, at in (("total", total, hit_v, at_v), ("left", left, hit_v, at_v), ("p1", p1, hit_w, at_w)):
+                out[c] = np.full(len(f), np.nan)
+                out[c][hit] = values[at]
+            out["p1"][w == END] = end_p1
+            return pd.DataFrame(out), ~hit_v, np.isnan(out["p1"])
+
+        def settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                v, w = f["v"].to_numpy(np.int64), f["w"].to_numpy(np.int64)
-                hit_v, at_v = _find(known, v)
-                hit_w, at_w = _find(known, w)
-                out = {"key": _keys(v.view(np.uint64), w.view(np.uint64)), "n": f["n"].to_numpy()}
-                for c, values, hit, at in zip(("total", "left", "p1"), columns, (hit_v, hit_v, hit_w), (at_v, at_v, at_w)):
-                    out[c] = np.full(len(f), np.nan)
-                    out[c][hit] = values[at]
-                out["p1"][w == END] = end_p1
-                lacks = np.isnan(out["p1"])
-                yield pd.DataFrame(out).assign(v=pd.array(v, dtype="Int64"), w=pd.array(w, dtype="Int64"), lack_v=~hit_v, lack_w=lacks)
+                out, lack_v, lack_w = known(f)
+                out = out[~(lack_v | lack_w)]
+                rest = out["left"] * out["p1"]
+                n = out["n"].to_numpy()
+                yield pd.DataFrame({"key": out["key"], "weight": np.log(((n - discounts[np.minimum(n, 3)]) / out["total"] + rest) / rest)})
+
+        def lacking(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out, lack_v, lack_w = known(f)
+                yield out.assign(lack_v=lack_v, lack_w=lack_w)[lack_v | lack_w]
 
         # Frequent words are never joined on, so no key of these joins has many rows.
-        seen = pairs.mapInPandas(mark, "key long, n long, total double, left double, p1 double, v long, w long, lack_v boolean, lack_w boolean")
-        seen = materialize(seen.withColumns({c: F.when(F.col(f"lack_{c}"), F.col(c)) for c in ("v", "w")}), old)
-        drop(spark, old.pop(0))
-        from_v = seen.where("lack_v").drop("total", "left").join(far.select(F.col("word").alias("v"), "total", "left"), "v")
-        both = seen.where("not lack_v").unionByName(from_v.withColumn("total", F.col("total").cast("double")))
+        rest = materialize(pairs.mapInPandas(lacking, "key long, n long, v long, w long, total double, left double, p1 double, lack_v boolean, lack_w boolean"), old)
+        from_v = rest.where("lack_v").drop("total", "left").join(far.select(F.col("word").alias("v"), F.col("total").cast("double").alias("total"), "left"), "v")
+        both = rest.where("not lack_v").unionByName(from_v)
         from_w = both.where("lack_w").drop("p1").join(far.select(F.col("word").alias("w"), "p1"), "w")
         both = both.where("not lack_w").unionByName(from_w)
-        rest = F.col("left") * F.col("p1")
-        of_pairs = both.select("key", "n", F.log(((F.col("n") - by("n", cut)) / F.col("total") + rest) / rest).alias("weight"))
+        fresh = F.col("left") * F.col("p1")
+        joined = both.select("key", "n", F.log(((F.col("n") - by("n", discounts)) / F.col("total") + fresh) / fresh).alias("weight"))
         of_words = words.where(F.col("word") != END).select(F.col("word").alias("key"), "n", (F.log("p1") + F.log("left") - self.base).alias("weight"))
-        weights = materialize(of_pairs.unionByName(of_words))
+        least, _ = _at_most(pairs.select("n").unionByName(words.select("n")), held)
+
+        def weights(of) -> DataFrame:
+            done = of(pairs).mapInPandas(settled, "key long, weight double")
+            return done.unionByName(of(joined).select("key", "weight")).unionByName(of(of_words).select("key", "weight")).select("key", "weight")
+
+        keys, values = _columns(weights(lambda df: df.where(F.col("n") >= least)), "key", "weight")  # held rows at most
+        self.held = keys, values
+        self.old: list[str] = []
+        self.tail = bucketed(weights(lambda df: df.where(F.col("n") < least)), "key", self.old)
+        sent_near.destroy()
         for path in old:
             drop(spark, path)
-        least, most = _at_most(weights, held)
-        near_weights = most.select("key", "weight").toPandas().sort_values("key")  # held rows at most
-        self.held = near_weights["key"].to_numpy(np.int64), near_weights["weight"].to_numpy(np.float64)
-        self.tail = weights.where(F.col("n") < least).select("key", "weight")
+
+    def free(self) -> None:
+        """Drop the tables, when all scores are written."""
+        for path in self.old:
+            drop(self.tail.sparkSession, path)
+
+
+def _columns(df: DataFrame, key: str, *more: str) -> tuple[np.ndarray, ...]:
+    """A bounded table's columns in the order of ``key``."""
+    table = df.select(key, *more).toArrow()
+    order = np.argsort(table[key].to_numpy())
+    return tuple(table[c].to_numpy()[order] for c in (key, *more))
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
@@ -182,34 +209,44 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     sent = spark.sparkContext.broadcast((model.vocabulary, *model.held))
     base, end, unknown = model.base, model.end, float(np.log(model.kinds))
     mixed = lambda key: mix(key.view(np.uint64))
-    rest = BitMap.of(model.tail.select("key"), lambda frames: (mixed(f["key"].to_numpy(np.int64)) for f in frames), 1).reader()
+    rest_map = BitMap.of(model.tail.select("key"), lambda frames: (mixed(f["key"].to_numpy(np.int64)) for f in frames), 1)
+    rest = rest_map.reader()
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(texts: list[bytes]) -> pd.DataFrame:
         vocabulary, keys, weights = sent.value
-        for frame in chunks(frames, "text"):
-            of, words, nxt, n = _ids(frame["text"].tolist(), vocabulary)
-            total = base * (n + 1) + end
-            if vocabulary is not None:
-                total -= unknown * np.bincount(of[words == UNKNOWN], minlength=len(frame))
-            wait = []
-            for key in (words.view(np.int64), _keys(words, nxt)):
-                hit, at = _find(keys, key)
-                total += np.bincount(of[hit], weights=weights[at], minlength=len(frame))
-                left = np.flatnonzero(~hit)
-                left = left[rest(mixed(key[left]))]
-                wait.append((of[left], key[left]))
-            own, key = (np.concatenate(x) for x in zip(*wait))
-            order = np.argsort(own, kind="stable")
-            cuts = np.searchsorted(own[order], np.arange(1, len(frame)))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "lang": frame["lang"], "n_words": n, "total": total, "rest": np.split(key[order], cuts)})
-
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text_of().alias("text")).mapInPandas(score, "doc_id long, lang string, n_words long, total double, rest array<long>")
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()))  # written, so that numbers stay
+        of, words, nxt, n = _ids(texts, vocabulary)
+        total = base * (n + 1) + end
+        if vocabulary is not None:
+            total -= unknown * np.bincount(of[words == UNKNOWN], minlength=len(texts))
+        wait = []
+        for key in (words.view(np.int64), _keys(words, nxt)):
+            hit, at = _find(keys, key)
+            total += np.bincount(of[hit], weights=weights[at], minlength=len(texts))
+            left = np.flatnonzero(~hit)
+            left = left[rest(mixed(key[left]))]
+            wait.append((of[left], key[left]))
+        own, key = (np.concatenate(x) for x in zip(*wait))
+        order = np.argsort(own, kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(1, len(texts)))
+        return pd.DataFrame({"n_words": n, "total": total, "rest": np.split(key[order], cuts)})
+
+    @F.pandas_udf("n_words long, total double, rest array<long>")
+    def scores(texts: pd.Series) -> pd.DataFrame:
+        return pd.concat([score(part) for part in cut(texts.tolist())], ignore_index=True)
+
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), scores(text_of()).alias("r")).select("doc_id", "lang", "r.*")
+    old: list[str] = []
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), old)  # written, so that numbers stay
     tail = scored.select("row", F.explode("rest").alias("key")).join(model.tail, "key").groupBy("row").agg(F.sum("weight").alias("more"))
-    out = scored.drop("rest").join(tail, "row", "left")
+    out = scored.drop("rest").join(materialize(tail, old), "row", "left")
     log_p = F.col("total") + F.coalesce("more", F.lit(0.0))
     known = F.lit(not model.empty) & (F.col("n_words") > 0)
-    return out.select("doc_id", "lang", "n_words", F.when(known, F.exp(-log_p / (F.col("n_words") + 1))).alias("perplexity"))
+    out = materialize(out.select("doc_id", "lang", "n_words", F.when(known, F.exp(-log_p / (F.col("n_words") + 1))).alias("perplexity")))
+    rest_map.free()
+    sent.destroy()
+    for path in old:
+        drop(spark, path)
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -229,7 +266,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     trusted_ids = materialize(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct())
     counted = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) > 0
     model = Model(docs, IdFilter(trusted_ids.where(counted), "doc_id").semi(docs))
-    scored = materialize(perplexities(docs, model))
+    scored = perplexities(docs, model)
+    model.free()
     calm = scored.join(trusted_ids.where(~counted), "doc_id", "left_semi").where("perplexity is not null")
     limits = calm.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 100_000).alias("own"))
     whole = calm.agg(F.percentile_approx("perplexity", quantile, 100_000).alias("all"))
