@@ -65,9 +65,11 @@ def vector_classes(vectors: DataFrame) -> DataFrame:
                 good = len(x) and np.isfinite(x).all() and np.isfinite(x @ x) and x @ x > 0
                 data = x.tobytes() if good else None
                 rows.append((hashlib.blake2b(data, digest_size=16).digest() if good else None, data))
-            yield pd.DataFrame({"vec_id": frame["vec_id"].astype("Int64"), "c": [r[0] for r in rows], "v": [r[1] for r in rows]})
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "c": [r[0] for r in rows], "v": [r[1] for r in rows]})
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInPandas(digest, "vec_id long, c binary, v binary")
+    # Ids pass through Python as text: a null beside them would make them floats.
+    rows = vectors.select(F.col("vec_id").cast("long").cast("string"), F.col("embedding").cast("array<double>")).mapInPandas(digest, "vec_id string, c binary, v binary")
+    return rows.withColumn("vec_id", F.col("vec_id").cast("long"))
 
 
 def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

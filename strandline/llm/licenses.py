@@ -187,11 +187,12 @@ def license_hits(docs: DataFrame) -> DataFrame:
     """
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids, rows = frame["doc_id"].astype("Int64"), []
+            ids, rows = frame["doc_id"], []
             for i, text in enumerate(frame["text"].tolist()):
                 rows += [(i, n, s, size, saved, len(d), d) for n, s, size, saved, d in scan(text)]
             out = pd.DataFrame(rows, columns=["doc_id", "license", "start", "length", "saved", "n_differences", "differences"])
             yield out.assign(doc_id=ids.iloc[out["doc_id"].astype("int64")].array)
 
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("text").rlike(f"(?i){CUES}"))
-    return chosen.mapInPandas(find, HITS)
+    # Ids pass through Python as text: a null beside them would make them floats.
+    chosen = docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")).where(F.col("text").rlike(f"(?i){CUES}"))
+    return chosen.mapInPandas(find, HITS.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
