@@ -19,6 +19,8 @@ GRAM, RATE = 8, 0.1
 BLOCK_CHARS = 2_000_000
 _BREAK = np.uint32(0x110000)  # no character: stands between texts
 _TABLE_BITS = 22
+#: Characters of a text that are searched at once, and matches of q-grams that are counted at once (one part at least).
+PART, MATCHES = 4096, 1 << 20
 HITS = "doc_id long, item_id long, start long, end long, n_edits long"
 
 
@@ -95,8 +97,26 @@ class ItemIndex:
         return cls(np.array([i for i, _ in rows]), texts, budget, least, grams, np.cumsum(n), item[order], place[order], table, gram)
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, start, end, edits): the best place of each item found in each text."""
-        codes = [_codes(t) for t in texts]
+        """(text, item, start, end, edits): the best place of each item found in each text.
+
+        Long texts are searched in parts that overlap by more than an occurrence and its band.
+        """
+        reach = max(len(t) for t in self.texts) + 4 * (int(self.budget.max(initial=0)) + 1) + self.gram
+        size = max(PART, 4 * reach)
+        parts = [(i, at, c[at : at + size]) for i, c in enumerate(map(_codes, texts)) for at in range(0, max(len(c) - reach, 1), size - reach)]
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        exact: set[int] = set()  # text and item whose first whole place is known: nothing later is better
+        owner = np.array([i for i, _, _ in parts])
+        for part, item, s, e, d in self._found([c for _, _, c in parts], owner, exact):
+            i, at, _ = parts[part]
+            if d == 0:
+                exact.add(i * len(self.ids) + item)
+            if (got := (d, s + at, e + at)) < best.get((i, item), (len(self.texts[item]), 0, 0)):
+                best[i, item] = got
+        return [(i, int(self.ids[item]), s, e, d) for (i, item), (d, s, e) in sorted(best.items())]
+
+    def _found(self, codes: list[np.ndarray], owner: np.ndarray, exact: set[int]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(part, item, start, end, edits), with parts taken together as long as their matches are few."""
         starts = np.cumsum([0] + [len(c) + 1 for c in codes])
         data = np.concatenate([np.append(c, _BREAK) for c in codes])
         hashes = _grams(data, self.gram)
@@ -106,10 +126,22 @@ class ItemIndex:
         at, k = at[hit], k[hit]
         first = np.concatenate([[0], self.ends[:-1]])[k]
         n = self.ends[k] - first
+        matches = np.bincount(np.searchsorted(starts, at, side="right") - 1, weights=n, minlength=len(codes)).cumsum()
+        low = 0
+        while low < len(codes):
+            high = max(int(np.searchsorted(matches, (matches[low - 1] if low else 0) + MATCHES, side="right")), low + 1)
+            own = slice(*np.searchsorted(at, starts[[low, high]]))
+            yield from self._in_bands(codes, starts, owner, exact, at[own], first[own], n[own])
+            low = high
+
+    def _in_bands(self, codes: list[np.ndarray], starts: np.ndarray, owner: np.ndarray, exact: set[int], at: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
         at = np.repeat(at, n)
         item = self.item[which]
         of = np.searchsorted(starts, at, side="right") - 1
+        if exact:
+            open_ = ~np.isin(owner[of] * len(self.ids) + item, list(exact))
+            at, which, item, of = at[open_], which[open_], item[open_], of[open_]
         # Diagonals are counted from -(longest item), to be positive; two overlapping bands hold each.
         step = self.budget[item] + 1
         shift = max(len(t) for t in self.texts)
@@ -132,7 +164,8 @@ class ItemIndex:
             low = b * (k + 1) - shift
             if (got := self._place(codes[text], i, low, 2 * (k + 1), k)) and got < best.get((text, i), (k + 1, 0, 0)):
                 best[text, i] = got
-        return [(text, int(self.ids[i]), s, e, d) for (text, i), (d, s, e) in sorted(best.items())]
+        for (text, i), (d, s, e) in best.items():
+            yield text, i, s, e, d
 
     def _place(self, text: np.ndarray, i: int, low: int, width: int, budget: int) -> tuple[int, int, int] | None:
         item = self.texts[i]
@@ -182,7 +215,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, rate
 
     Null and empty texts hold nothing; items that are null or shorter than ``gram`` characters
     are not searched. Repeated documents each have their rows; a null doc_id stays null. Empty
-    tables give no rows, and other columns are not read.
+    tables give no rows, and other columns are not read. Texts of any length are searched whole,
+    in overlapping parts.
     """
     spark = docs.sparkSession
 
@@ -191,12 +225,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, rate
 
         def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                ids = frame["doc_id"].astype("Int64")
+                ids = frame["doc_id"]
                 rows = list(_searched(sent, frame["text"].tolist()))
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "n_edits"], dtype="int64")
                 yield out.assign(doc_id=ids.iloc[out["doc_id"]].array)
 
-        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(find, HITS)
+        # Ids pass through Python as text: a null beside them would make them floats.
+        texts = docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string"))
+        return texts.mapInPandas(find, HITS.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     found = [of(b) for b in item_blocks(benchmark, gram, rate)]
     return union_all(found) if found else spark.createDataFrame([], HITS)
