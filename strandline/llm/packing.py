@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, with_global_rank
 
+#: Blanks in a row from which on the tokenizers library encodes a text.
+BLANKS = 50_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -41,11 +44,16 @@ class Encoder:
         return out
 
     def ids(self, text: str) -> np.ndarray:
-        if self.ranks is not None and not any(t in text for t in self.added):
+        if self.ranks is not None and not any(t in text for t in self.added) and not _long_blank(text):
             return np.array(self.ranks.encode_ordinary(text), dtype="<u4")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
+def _long_blank(text: str) -> bool:
+    """Whether blanks run on so far that tiktoken's pattern could exhaust its stack."""
+    return len(text) > BLANKS and any(m.end() - m.start() > BLANKS for m in re.finditer(r"\s+", text))
+
+
 def _rank_encoding(path: str):
     """The file as a tiktoken encoding, or None where its ids would not be the same."""
     import public_tokenizers
@@ -69,11 +77,20 @@ def _rank_encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, added: bool = False) -> Encoder:
     return Encoder(path, added)
 
 
+def _text_id(schema: str) -> str:
+    """Ids pass through Python as text: a null beside them would make them floats."""
+    return schema.replace("doc_id long", "doc_id string")
+
+
+def _by_text_id(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int = 0, added: bool = False) -> DataFrame:
     """Cut each document's ids (and a closing ``end_id``) into pieces of at most ``length`` ids.
 
@@ -86,14 +103,13 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int =
             rows = []
             for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"].tolist()):
                 ids = np.append(enc.ids(text), end) if text else end
-                doc_id = None if doc_id is None or doc_id != doc_id else int(doc_id)
                 for at in range(0, len(ids), length):
                     piece = ids[at : at + length]
                     rows.append((doc_id, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECES)
+    texts = docs.select(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string"))
+    return _by_text_id(texts.mapInPandas(cut, _text_id(PIECES)))
 
 
 def pack_histogram(histogram: dict[int, int], length: int) -> Counter:
@@ -189,9 +205,10 @@ def pack(pieces: DataFrame, length: int) -> DataFrame:
             for s in np.unique(size):
                 own = size == s
                 seq[own], off[own] = places.find(int(s), rank[own] - first[int(s)])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), sequence_id=seq, offset=off)
+            yield frame.assign(sequence_id=seq, offset=off)
 
-    return ranked.mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    ranked = ranked.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return _by_text_id(ranked.mapInPandas(place, _text_id(f"{PIECES}, sequence_id long, offset long")))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = 1024, added: bool = False) -> DataFrame:
