@@ -26,18 +26,37 @@ def boolean(c: Column) -> Column:
 
 
 def double(c: Column) -> Column:
-    """Shortest digits, with an exponent below 1e-4 and from 1e21 on, and no trailing zero fraction."""
-    text = c.cast("string")
-    digits = F.regexp_extract(text, r"^(-?)(\d+)\.(\d+)E(-?\d+)$", 0)
-    mantissa = F.regexp_replace(F.regexp_replace(text, r"E.*$", ""), r"\.0$", "")
-    power = F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int")
-    exponent = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    plain = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,17)").cast("string"), r"0+$", ""), r"\.$", "")
+    """Shortest digits, with an exponent below 1e-4 and from 1e6 on, and no trailing zero fraction."""
+    text = c.cast("string")  # shortest digits too, but with an exponent from 1e7 on only
+    whole = F.regexp_extract(text, r"^-?(\d+)", 1)
+    sign = F.when(c < 0, "-").otherwise("")
+    power = F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?\d+)$", 1), F.lit("")).cast("int"), F.length(whole) - 1)
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"E.*$", ""), r"^-|\.", ""), r"0+$", "")
+    rest = F.substring(digits, 2, 400)
+    mantissa = F.concat(F.substring(digits, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
+    exponent = F.concat(sign, mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), F.greatest(-power - 1, F.lit(0))), digits)
     special = F.when(F.isnan(c), "NaN").when(c == float("inf"), "+Inf").when(c == float("-inf"), "-Inf")
-    shown = F.when(special.isNotNull(), special).when(c == 0, "0").when(digits == "", F.regexp_replace(text, r"\.0$", "")).when((power < -4) | (power >= 21), exponent).otherwise(plain)
+    shown = F.when(special.isNotNull(), special).when(c == 0, F.when(text.startswith("-"), "-0").otherwise("0"))
+    shown = shown.when((F.abs(c) >= 1e6) | ((power < -4) & text.contains("E")), exponent).when(text.contains("E"), small).otherwise(F.regexp_replace(text, r"\.0$", ""))
     return F.concat(F.lit("d:"), shown)
 
 
+def array(elements: Column) -> Column:
+    """An array of values in canonical form, each with its length in bytes before it."""
+    return F.concat(F.lit("a:"), F.size(elements).cast("string"), F.lit(":"), F.array_join(F.transform(elements, _sized), ""))
+
+
+def kvlist(pairs: Column) -> Column:
+    """A list of (key, value), sorted by key, with the length of each key and value before it."""
+    rows = F.transform(F.array_sort(pairs), lambda p: F.concat(_sized(p["key"]), _sized(p["value"])))
+    return F.concat(F.lit("k:"), F.size(pairs).cast("string"), F.lit(":"), F.array_join(rows, ""))
+
+
+def _sized(text: Column) -> Column:
+    return F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)
+
+
 def display(value: Column) -> Column:
     """The untagged text: "1" and 1 are alike."""
     return F.substring(value, 3, 2**31 - 1)

@@ -35,8 +35,13 @@ GRACE_NS = 15 * 60 * 10**9
 FROZEN = {
     "oper_state": ("up", "down", "testing", "unknown", "dormant", "not_present", "lower_layer_down"),
     "admin_state": ("up", "down", "testing"),
-    "duplex": ("full", "half", "auto", "unknown"),
+    "duplex": ("full", "half", "unknown"),
+    "interface.type": ("physical", "virtual", "wireless", "loopback"),
+    "host.chassis.type": ("desktop", "laptop", "server", "blade", "vm", "other"),
+    "host.virtualization": ("none", "kvm", "vmware", "xen", "hyperv", "virtualbox", "qemu", "lxc", "openvz", "bhyve", "unknown"),
 }
+#: Vocabularies that may grow: a value outside is told, not refused.
+ADVISORY = ("host.virtualization",)
 
 
 def structural(relation_type: Column) -> Column:

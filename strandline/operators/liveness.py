@@ -22,7 +22,7 @@ def holds(observed: DataFrame) -> DataFrame:
     promise = F.when(F.col("interval_ns") > MAX_PROMISE_NS, 0).otherwise(F.col("interval_ns"))
     deadline = F.struct((F.when(promise > 0, F.col("at_ns") + promise).otherwise(FOREVER)).alias("t"), F.lit(FOREVER).alias("q"))
     marked = observed.withColumns({"start": place, "next": F.lead(place).over(own), "deadline": deadline}).where("kind = 'state'")
-    return marked.select("id", "speaker", "start", F.least("deadline", F.coalesce("next", "deadline")).alias("end"), (F.coalesce("next", "deadline") >= F.col("deadline")).alias("lapsed"))
+    return marked.select("id", "speaker", promise.alias("interval_ns"), "start", F.least("deadline", F.coalesce("next", "deadline")).alias("end"), (F.coalesce("next", "deadline") >= F.col("deadline")).alias("lapsed"))
 
 
 def lives(observed: DataFrame) -> DataFrame:
@@ -51,7 +51,10 @@ def cascade(deleted: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def speakers(observed: DataFrame, now_ns: int) -> DataFrame:
-    """(id, asserted_by, n_anonymous, interval_ns): who holds each thing at a time; unnamed speakers are only counted."""
+    """(id, asserted_by, n_anonymous, interval_ns): who holds each thing at a time; unnamed speakers are only counted.
+
+    interval_ns is the coarsest that a speaker who holds it has promised, null where none has.
+    """
     held = holds(observed).where((F.col("start.t") <= now_ns) & (F.col("end.t") > now_ns))
     named = F.when(F.col("speaker") != "", F.col("speaker"))
-    return held.groupBy("id").agg(F.array_sort(F.collect_set(named)).alias("asserted_by"), F.count_if(F.col("speaker") == "").alias("n_anonymous"))
+    return held.groupBy("id").agg(F.array_sort(F.collect_set(named)).alias("asserted_by"), F.count_if(F.col("speaker") == "").alias("n_anonymous"), F.nullif(F.max("interval_ns"), F.lit(0)).alias("interval_ns"))

@@ -30,12 +30,18 @@ def pruned(log: DataFrame, cutoff_ns: int) -> DataFrame:
 
 
 def baselines(log: DataFrame, cutoff_ns: int) -> DataFrame:
-    """For what lived at the cutoff and has news after it: its state at the cutoff, as a creation pinned there."""
-    first = log.groupBy("tenant", "id").agg(F.min("event_time_ns").alias("born"), F.max_by("change_type", F.struct(*ARRIVAL)).alias("now"), F.max("recorded_at_ns").alias("newest"))
-    own = F.struct(*ARRIVAL)
-    old = log.where(F.col("recorded_at_ns") < cutoff_ns).groupBy("tenant", "id").agg(F.max_by("attributes", F.when(F.col("change_type") != "entity.unchanged", own)).alias("attributes"))
-    alive = first.where((F.col("born") <= cutoff_ns) & ~F.col("now").isin(*ENDS) & (F.col("newest") > cutoff_ns))
-    return old.join(alive, ["tenant", "id"]).select("tenant", "id", "attributes", F.lit("entity.created").alias("change_type"), F.lit(cutoff_ns).alias("event_time_ns"), F.lit(cutoff_ns).alias("recorded_at_ns"))
+    """What a pruning at the cutoff pins there: the latest state of everything that lives, was seen up to the cutoff, and whose last event is later.
+
+    Entities and relations alike; the state is the present one, since the older events are what goes.
+    """
+    order = F.struct(*ARRIVAL)
+    news = ~F.col("change_type").isin("entity.unchanged")
+    last = log.groupBy("tenant", "id").agg(
+        F.min("event_time_ns").alias("born"), F.max_by("change_type", order).alias("now"), F.max_by("event_time_ns", order).alias("newest"), F.max_by("attributes", F.when(news, order)).alias("attributes")
+    )
+    pinned = last.where((F.col("born") <= cutoff_ns) & ~F.col("now").isin(*ENDS) & (F.col("newest") > cutoff_ns))
+    made = F.when(F.col("now").startswith("relation."), "relation.added").otherwise("entity.created")
+    return pinned.select("tenant", "id", "attributes", made.alias("change_type"), F.lit(cutoff_ns).alias("event_time_ns"), F.lit(cutoff_ns).alias("recorded_at_ns"))
 
 
 def horizon(old_ns: int | None, cutoff_ns: int, n_pruned: int) -> int | None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import base64
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ENDS = ("entity.deleted", "relation.removed")
@@ -46,3 +48,16 @@ def page(entities: DataFrame, key: str, after: str | None, size: int) -> DataFra
     """A page in the order of ``key``: only its rows leave the tasks."""
     rest = entities if after is None else entities.where(F.col(key) > after)
     return rest.orderBy(key).limit(max(1, min(size, 200)) if size > 0 else 50)
+
+
+def connection(rows: DataFrame, key: str, after: str | None, size: int) -> DataFrame:
+    """A page in the order of ``key`` with a ``cursor`` for each row and ``has_next_page``; ``after`` is a cursor.
+
+    One row more than the page tells whether there is a next one; no other leaves the tasks.
+    """
+    last = None if after is None else base64.b64decode(after).decode()
+    size = max(1, min(size, 200)) if size > 0 else 50
+    rest = rows if last is None else rows.where(F.col(key) > last)
+    place = F.row_number().over(Window.orderBy(key))  # over a page's rows
+    taken = rest.orderBy(key).limit(size + 1).withColumns({"__k": place, "__n": F.count("*").over(Window.partitionBy())})
+    return taken.where(F.col("__k") <= size).withColumns({"cursor": F.base64(F.col(key).cast("binary")), "has_next_page": F.col("__n") > size}).drop("__k", "__n")

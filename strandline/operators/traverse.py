@@ -27,15 +27,21 @@ def reach(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     Breadth first for all roots at once: a frontier joins the edges and leaves out what was seen;
     each level is a reliable checkpoint, so that plans stay short.
     """
-    seen = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"))
-    frontier = seen
+    edges = edges.select("src", "dst", "type")
+    # Relation types go as small numbers in their order, which sums hash by; there are as many as the vocabulary has.
+    types = sorted(r["type"] for r in edges.select("type").distinct().collect())
+    names = F.array(*map(F.lit, types)) if types else F.array(F.lit(""))
+    edges = edges.groupBy("src", "dst").agg(F.min(F.array_position(names, F.col("type")).cast("int")).alias("type"))
+    edges = cut_lineage(edges.repartition("src"))
+    start = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("via"))
+    seen = frontier = start
     for d in range(1, depth + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.min("type").alias("via"))
         new = cut_lineage(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(d).alias("depth"), "via"))
         if new.isEmpty():
             break
         seen, frontier = seen.union(new), new
-    return seen.where("depth > 0")
+    return seen.where("depth > 0").withColumn("via", F.element_at(names, F.col("via")))
 
 
 def shortest_paths(root: DataFrame, relations: DataFrame, entities: DataFrame, hops: int = 10, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +53,7 @@ def shortest_paths(root: DataFrame, relations: DataFrame, entities: DataFrame, h
     """
     if "confidence" in relations.columns:
         relations = relations.where((F.col("type") != "same_as") | F.col("confidence").between(confidence, 1.0))
-    edges = both_ways(relations)
+    edges = cut_lineage(both_ways(relations.select("from_id", "to_id", "type")).repartition("src"))
     kinds = entities.select(F.col("id").alias("node"), F.col("type").alias("kind"))
     frontier = root.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("entered"), F.lit("root").alias("kind"), F.array(F.col("id").cast("string")).alias("path"))
     seen, refused = frontier.drop("entered", "kind"), frontier.select("root", "node").where("false")
@@ -66,6 +72,14 @@ def shortest_paths(root: DataFrame, relations: DataFrame, entities: DataFrame, h
     return seen, refused.distinct()
 
 
+def neighbors(roots: DataFrame, relations: DataFrame, types: list[str] | None = None, size: int = 50) -> DataFrame:
+    """(root, node, type, outgoing, place): the first ``size`` neighbours of each root (id) by node and type (a page's limit), of some relation types or all."""
+    edges = both_ways(relations if types is None else relations.where(F.col("type").isin(*types)))
+    met = roots.select(F.col("id").alias("root")).join(edges, F.col("root") == F.col("src"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("dst", "type", "outgoing"))
+    return met.withColumn("place", place).where(F.col("place") <= size).select("root", F.col("dst").alias("node"), "type", "outgoing", "place")
+
+
 def convergences(refused: DataFrame, a, b) -> DataFrame:
     """Nodes at which the ways from both ``a`` and ``b`` were refused."""
     return refused.where(F.col("root") == a).select("node").intersect(refused.where(F.col("root") == b).select("node"))

@@ -117,16 +117,19 @@ ORACLE_SQL = {
     "q28_aliases": f"WITH {BELIEFS} SELECT 'service.instance.id' AS key, 's:' || t_name AS alias, min('s:' || f_name) AS canonical FROM beliefs WHERE confidence BETWEEN 0.9 AND 1 AND t_name <> f_name GROUP BY t_name HAVING min(f_name) = max(f_name)",
     "q29_coalesce": f"WITH {LOG} SELECT seq, change_type FROM (SELECT *, lag(change_type) OVER w AS p, lead(change_type) OVER w AS n FROM log WINDOW w AS (PARTITION BY id ORDER BY {ARRIVED})) WHERE NOT (change_type = 'entity.unchanged' AND coalesce(p, '') = 'entity.unchanged' AND coalesce(n, '') = 'entity.unchanged')",
     "q30_prune": f"WITH {LOG} SELECT seq, change_type FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY recorded_at_ns DESC, seq DESC) AS k FROM log) WHERE recorded_at_ns >= {T15} OR (k = 1 AND change_type <> 'entity.deleted')",
-    "q31_baselines": f"""WITH {LOG}, a AS (SELECT id, min(event_time_ns) AS born, arg_max(change_type, ({ARRIVED})) AS now, max(recorded_at_ns) AS newest FROM log GROUP BY id)
-      SELECT id, arg_max(status, ({ARRIVED})) FILTER (change_type <> 'entity.unchanged') AS status, CAST({T15} AS BIGINT) AS event_time_ns FROM log JOIN a USING (id) WHERE recorded_at_ns < {T15} AND born <= {T15} AND now <> 'entity.deleted' AND newest > {T15} GROUP BY id""",
+    "q31_baselines": f"""WITH {LOG}, last AS (SELECT id, min(event_time_ns) AS born, arg_max(change_type, ({ARRIVED})) AS now, arg_max(event_time_ns, ({ARRIVED})) AS newest, arg_max(status, ({ARRIVED})) FILTER (change_type <> 'entity.unchanged') AS status FROM log GROUP BY id)
+      SELECT id, status, CAST({T15} AS BIGINT) AS event_time_ns FROM last WHERE born <= {T15} AND now <> 'entity.deleted' AND newest > {T15}""",
     "q32_serial_overlap": "SELECT 'SN0' || (s_suppkey // 3) AS serial, count(*) AS n_devices FROM supplier GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey // 5) % 2 END) < 2 AND length('SN0' || min(s_suppkey // 3)) >= 4",
     "q33_type_cap": "WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, p_brand) AS k FROM c) SELECT CASE WHEN k <= 7 THEN p_brand ELSE 'other' END AS type, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1",
     "q34_vocabulary": "SELECT event_type AS value, count(*) AS n FROM events WHERE event_type NOT IN ('view', 'click', 'up', 'down', 'testing', 'unknown', 'dormant', 'not_present', 'lower_layer_down') GROUP BY 1",
     "q35_annotation_merge": "SELECT o_custkey AS fingerprint, o_orderpriority AS key, arg_max(o_orderstatus, o_orderkey) AS value, max(o_orderkey) AS updated_at FROM orders GROUP BY 1, 2 HAVING arg_max(o_orderstatus, o_orderkey) <> 'P'",
     "q36_telemetry_keys": TELEMETRY,
-    "q37_endpoint_resolution": """WITH e AS (SELECT o_orderkey AS endpoint, 'a' || (o_custkey % 500) AS address, o_orderkey % 20 AS port FROM orders), l AS (SELECT p_partkey AS listener, 'a' || (p_partkey % 400) AS address, p_size % 20 AS port, p_partkey % 25 AS host FROM part),
-      b AS (SELECT address, port, min(listener) AS bound FROM l GROUP BY ALL), h AS (SELECT 'a' || (c_custkey % 450) AS address, min(c_nationkey) AS said_at FROM customer GROUP BY 1), o AS (SELECT host AS said_at, port, min(listener) AS near FROM l GROUP BY ALL)
-      SELECT endpoint, coalesce(bound, near, said_at) AS target, CASE WHEN bound IS NOT NULL THEN 'bind' WHEN near IS NOT NULL THEN 'port' WHEN said_at IS NOT NULL THEN 'host' END AS how FROM e LEFT JOIN b USING (address, port) LEFT JOIN h USING (address) LEFT JOIN o USING (said_at, port)""",
+    "q37_endpoint_resolution": """WITH e AS (SELECT o_orderkey AS endpoint, 'a' || (o_custkey % 500) AS address, o_orderkey % 20 AS port, CASE o_orderkey % 3 WHEN 0 THEN 'tcp' WHEN 1 THEN 'udp' END AS transport, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey % 30 END AS scope FROM orders),
+      l AS (SELECT p_partkey AS listener, 'a' || (p_partkey % 400) AS bind, p_size % 20 AS port, CASE p_partkey % 3 WHEN 0 THEN 'tcp' WHEN 1 THEN 'udp' END AS transport, p_partkey % 25 AS host FROM part),
+      h AS (SELECT 'a' || (c_custkey % 450) AS address, min(c_nationkey) AS host FROM customer GROUP BY 1),
+      x AS (SELECT e.*, CASE WHEN scope IS NULL THEN h.host WHEN scope IN (SELECT n_nationkey FROM nation) THEN scope END AS place FROM e LEFT JOIN h USING (address)),
+      r AS (SELECT endpoint, any_value(place) AS place, min(l.listener) FILTER (scope IS NULL AND l.bind = x.address) AS bound, min(l.listener) FILTER (l.host = x.place) AS near FROM x LEFT JOIN l ON l.port = x.port AND (l.bind = x.address OR l.host = x.place) AND coalesce(l.transport = x.transport, true) GROUP BY endpoint)
+      SELECT endpoint, CAST(coalesce(bound, near, place) AS BIGINT) AS target, CASE WHEN bound IS NOT NULL THEN 'bind' WHEN near IS NOT NULL THEN 'port' WHEN place IS NOT NULL THEN 'host' END AS how FROM r""",
     "q38_heartbeat_tally": f"WITH {LOG} SELECT change_type, count(*) AS n FROM log WHERE event_time_ns BETWEEN {JAN} AND {JAN + 40 * DAY} GROUP BY 1",
     "q39_logship_gap": """WITH s AS (SELECT 't' || (c_custkey % 7) AS tenant, (c_custkey // 7) * 10 + CASE WHEN c_custkey % 11 = 0 THEN 2 ELSE 0 END AS from_seq, (c_custkey // 7) * 10 + CASE WHEN c_custkey % 13 = 0 THEN 12 ELSE 9 END AS to_seq FROM customer),
       x AS (SELECT *, 1 + max(to_seq) OVER (PARTITION BY tenant ORDER BY from_seq, to_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS expected FROM s) SELECT tenant, from_seq, to_seq, expected, CASE WHEN from_seq > expected THEN 'gap' ELSE 'overlap' END AS fault FROM x WHERE from_seq <> expected""",
@@ -143,3 +146,30 @@ ORACLE_SQL["q41_neighbors_d2_all"] = f"WITH RECURSIVE {BOTH}, {_reach('both_ways
 ORACLE_SQL["q42_shortest_hops_all"] = f"WITH RECURSIVE {BOTH}, {_reach('both_ways', _REGIONS, 4)} SELECT root, depth AS hops, count(*) AS n FROM first GROUP BY ALL"
 ORACLE_SQL["q43_digest_by_producer"] = f"WITH {LOG} " + _digest(T10 + 3 * DAY, "true", False).replace("change_type, type, keys, scope, delete_source", "producer, change_type, type, keys, scope, delete_source")
 ORACLE_SQL["q44_history_known_all"] = f"WITH {LOG} SELECT seq, id, change_type, event_time_ns, recorded_at_ns FROM log WHERE event_time_ns >= {T10} AND recorded_at_ns <= {T15}"
+_CUSTOMER = _fp("service.instance", ("service.instance.id", "'s:' || c_name"))
+_DEVICES = "SELECT CASE s_suppkey % 5 WHEN 0 THEN 's:Cisco' WHEN 1 THEN 's:hpe' WHEN 2 THEN 'i:729' WHEN 3 THEN 's: arista' END AS vendor FROM supplier"
+ORACLE_SQL["q45_resolved_handles"] = f"""SELECT 'host:host.id=' || n_nationkey AS handle, CAST({_node(1, 'n_nationkey')} AS VARCHAR) AS id FROM nation UNION ALL SELECT 'network.segment:network.segment.id=' || r_name, CAST({_node(0, 'r_regionkey')} AS VARCHAR) FROM region
+  UNION ALL SELECT {_CUSTOMER}, CAST(min({_node(3, 'c_custkey')}) OVER (PARTITION BY c_name) AS VARCHAR) FROM customer UNION ALL SELECT 'host:' || s_suppkey, NULL FROM supplier UNION ALL SELECT CAST(p_partkey AS VARCHAR), CAST(p_partkey AS VARCHAR) FROM part
+  UNION ALL SELECT 'process:process.pid=' || o_orderkey || ',process.creation.time=' || strftime(o_orderdate, '%Y-%m-%d'), CAST({_node(5, 'o_orderkey')} AS VARCHAR) FROM orders"""
+_CARDS = f"""SELECT {_node(0, 'r_regionkey')} AS id, 'network.segment' AS type, {_fp('network.segment', ('network.segment.id', "'s:' || r_name"))} AS fingerprint, r_name AS name FROM region
+  UNION ALL SELECT {_node(1, 'n_nationkey')}, 'host', {_fp('host', ('host.id', "'i:' || n_nationkey"))}, n_name FROM nation UNION ALL SELECT {_node(2, 's_suppkey')}, 'network.device', {_fp('network.device', ('network.device.id', "'s:' || s_name"))}, NULL FROM supplier
+  UNION ALL SELECT {_node(3, 'c_custkey')}, 'service.instance', {_CUSTOMER}, c_name FROM customer UNION ALL SELECT {_node(4, 'p_partkey')}, 'db', {_fp('db', ('db.instance.id', "'i:' || p_partkey"))}, p_name FROM part
+  UNION ALL SELECT {_node(5, 'o_orderkey')}, 'process', {_fp('process', ('process.creation.time', "'s:' || strftime(o_orderdate, '%Y-%m-%d')"), ('process.pid', "'i:' || o_orderkey"))}, NULL FROM orders"""
+ORACLE_SQL["q46_entity_cards"] = f"""WITH {RELS}, e AS ({_CARDS}), o AS (SELECT f AS id, count(*) AS n_out FROM rels GROUP BY 1), i AS (SELECT t AS id, count(*) AS n_in FROM rels GROUP BY 1)
+  SELECT id, type, fingerprint, coalesce(name, fingerprint) AS name, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in FROM e LEFT JOIN o USING (id) LEFT JOIN i USING (id)"""
+ORACLE_SQL["q47_relation_page"] = f"""WITH {RELS}, r AS (SELECT type || ':' || substr(sha256(type || chr(31) || f || chr(31) || t), 1, 32) AS relation_id, f AS from_id, t AS to_id FROM rels WHERE type = 'depends_on' AND tt = 'network.device'),
+  p AS (SELECT *, row_number() OVER (ORDER BY relation_id) AS k, count(*) OVER () AS n FROM r WHERE relation_id > 'depends_on:8') SELECT relation_id, from_id, to_id, base64(encode(relation_id)) AS cursor, n > 40 AS has_next_page FROM p WHERE k <= 40"""
+ORACLE_SQL["q48_cascade"] = f"""WITH {LOG}, e AS (SELECT DISTINCT o_custkey AS from_id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS to_id FROM orders), g AS (SELECT id, event_time_ns, seq FROM log WHERE change_type = 'entity.deleted')
+  SELECT DISTINCT from_id, to_id, event_time_ns, seq, 'cascade' AS delete_source FROM e JOIN g ON id = from_id OR id = to_id"""
+ORACLE_SQL["q49_speakers"] = f"""WITH {OBS}, said AS (SELECT id, CASE scope WHEN 'm3' THEN '' ELSE producer || '/' || scope END AS speaker, max(recorded_at_ns) AS heard, arg_max(kind, ({ARRIVED})) AS kind, arg_max(CASE WHEN seq % 3 = 0 THEN 2 ELSE 1 END, ({ARRIVED})) * {DAY} AS interval_ns FROM obs WHERE recorded_at_ns <= {T15} GROUP BY ALL)
+  SELECT id, coalesce(string_agg(speaker, ',' ORDER BY speaker) FILTER (speaker <> ''), '') AS asserted_by, count(*) FILTER (speaker = '') AS n_anonymous, max(interval_ns) AS interval_ns FROM said WHERE kind = 'state' AND heard + interval_ns > {T15} GROUP BY id"""
+ORACLE_SQL["q50_inert_beliefs"] = f"""WITH {BELIEFS}, b AS (SELECT {_node(3, 'f')} AS from_id, {_node(3, 't')} AS to_id, confidence AS c FROM beliefs WHERE f IS NOT NULL), m AS (SELECT from_id, to_id, CASE WHEN to_id % 5 = 0 THEN NULL WHEN to_id % 7 = 0 THEN c + 1 ELSE c END AS c FROM b)
+  SELECT from_id, to_id, CASE WHEN c IS NULL THEN 'missing' ELSE 'out of range' END AS reason FROM m WHERE c IS NULL OR c NOT BETWEEN 0 AND 1"""
+ORACLE_SQL["q51_neighbor_page"] = f"""WITH {RELS}, b AS (SELECT f AS root, t AS node, type, true AS outgoing FROM rels UNION ALL SELECT t, f, type, false FROM rels WHERE f <> t), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY root ORDER BY node, type, outgoing) AS INTEGER) AS place FROM b JOIN ({_NATIONS}) n ON n.id = root WHERE type IN ('runs_on', 'attached_to'))
+  SELECT root, node, type, outgoing, place FROM r WHERE place <= 50"""
+ORACLE_SQL["q52_attribute_problems"] = """WITH a AS (SELECT ['oper_state', 'admin_state', 'duplex', 'interface.type', 'host.chassis.type', 'host.virtualization'][event_id % 6 + 1] AS key, (event_id // 6) % 4 AS w FROM events),
+  p AS (SELECT key, CASE w WHEN 0 THEN CASE WHEN key IN ('admin_state', 'interface.type', 'host.chassis.type') THEN 'outside' END WHEN 1 THEN 'outside' WHEN 2 THEN 'no string' ELSE 'empty' END AS problem, ['unknown', 'auto', '7', ''][w + 1] AS value FROM a)
+  SELECT key, value, problem, key <> 'host.virtualization' AS refused, count(*) AS n FROM p WHERE problem IS NOT NULL GROUP BY ALL"""
+ORACLE_SQL["q53_vendor_hygiene"] = f"SELECT count(vendor) AS population, count(*) FILTER (vendor <> 's:hpe') AS non_normative, count(*) FILTER (vendor IS NULL) AS retired FROM ({_DEVICES})"
+ORACLE_SQL["q54_newest_in_window"] = f"WITH {LOG} SELECT 'default' AS tenant, max(event_time_ns) AS newest_ns FROM log WHERE event_time_ns BETWEEN {T10} AND {T10 + DAY // 2} HAVING count(*) > 0"
+ORACLE_SQL["q55_touching_and_tail"] = f"WITH {LOG} SELECT seq, id, change_type FROM log WHERE seq > 500 AND id = 7"

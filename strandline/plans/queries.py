@@ -15,7 +15,13 @@ T10, T11, T15 = JAN + 9 * DAY, JAN + 10 * DAY, JAN + 14 * DAY
 SPACE = estate.SPACE
 
 
-def _log(spark: SparkSession, d: str) -> DataFrame:
+def _log(spark: SparkSession, d: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """The event log: written once, then scanned, in [start, end] only its days."""
+    path = logs.stored(spark, d, lambda: _classified(spark, d))
+    return logs.scan(spark, path, None, start, None if end is None else end + 1)
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
     return classify.entity_events(estate.observations(spark, d))
 
 
@@ -47,15 +53,15 @@ def q04_relation_ids(spark, d):
 
 
 def q05_classify(spark, d):
-    return _flat(_log(spark, d)).select("seq", "id", "change_type", "keys")
+    return _flat(_classified(spark, d)).select("seq", "id", "change_type", "keys")
 
 
 def q06_recent_changes(spark, d):
-    return _flat(changes.recent_changes(_log(spark, d), T10, T10 + DAY // 2)).select("seq", "id", "change_type", "keys", "event_time_ns")
+    return _flat(changes.recent_changes(_log(spark, d, T10, T10 + DAY // 2), T10, T10 + DAY // 2)).select("seq", "id", "change_type", "keys", "event_time_ns")
 
 
 def q07_entity_history_known(spark, d):
-    return changes.history(_log(spark, d), [1, 2, 3, 4, 5], T10, None, T15).select("seq", "id", "change_type", "event_time_ns", "recorded_at_ns")
+    return changes.history(_log(spark, d, T10), [1, 2, 3, 4, 5], T10, None, T15).select("seq", "id", "change_type", "event_time_ns", "recorded_at_ns")
 
 
 def q08_state_live(spark, d):
@@ -94,12 +100,12 @@ def q13_diff_totals(spark, d):
 
 
 def q14_change_digest(spark, d):
-    return changes.digest(_log(spark, d), T10, T10 + DAY)
+    return changes.digest(_log(spark, d, T10, T10 + DAY), T10, T10 + DAY)
 
 
 def q15_digest_scoped(spark, d):
     few = estate.table(spark, d, "events").where("user_id % 10 = 3").select(F.col("user_id").alias("id"))
-    return changes.digest(changes.touching(_log(spark, d), few), T10, T10 + 3 * DAY).drop("group_id")
+    return changes.digest(changes.touching(_log(spark, d, T10, T10 + 3 * DAY), few), T10, T10 + 3 * DAY).drop("group_id")
 
 
 def q16_neighbors_d2(spark, d):
@@ -223,14 +229,16 @@ def q36_telemetry_keys(spark, d):
 def q37_endpoint_resolution(spark, d):
     t = lambda n: estate.table(spark, d, n)
     at = lambda k, n: F.concat(F.lit("a"), F.col(k) % n)
-    endpoints = t("orders").select(F.col("o_orderkey").alias("endpoint"), at("o_custkey", 500).alias("address"), (F.col("o_orderkey") % 20).alias("port"), F.lit("tcp").alias("transport"))
-    listeners = t("part").select(F.col("p_partkey").alias("listener"), at("p_partkey", 400).alias("bind"), (F.col("p_size") % 20).cast("bigint").alias("port"), F.lit("tcp").alias("transport"), (F.col("p_partkey") % 25).alias("host"))
+    said = lambda k: F.element_at(F.array(F.lit("tcp"), F.lit("udp"), F.lit(None).cast("string")), (F.col(k) % 3 + 1).cast("int"))
+    scope = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_custkey") % 30)
+    endpoints = t("orders").select(F.col("o_orderkey").alias("endpoint"), at("o_custkey", 500).alias("address"), (F.col("o_orderkey") % 20).alias("port"), said("o_orderkey").alias("transport"), scope.alias("scope"))
+    listeners = t("part").select(F.col("p_partkey").alias("listener"), at("p_partkey", 400).alias("bind"), (F.col("p_size") % 20).cast("bigint").alias("port"), said("p_partkey").alias("transport"), (F.col("p_partkey") % 25).alias("host"))
     addresses = t("customer").select(at("c_custkey", 450).alias("address"), F.col("c_nationkey").cast("bigint").alias("host"))
-    return describe.resolved_endpoints(endpoints, listeners, addresses)
+    return describe.resolved_endpoints(endpoints, listeners, addresses, t("nation").select(F.col("n_nationkey").cast("bigint").alias("host")))
 
 
 def q38_heartbeat_tally(spark, d):
-    return changes.tally(_log(spark, d), JAN, JAN + 40 * DAY)
+    return changes.tally(_log(spark, d, JAN, JAN + 40 * DAY), JAN, JAN + 40 * DAY)
 
 
 def q39_logship_gap(spark, d):
@@ -256,11 +264,75 @@ def q42_shortest_hops_all(spark, d):
 
 
 def q43_digest_by_producer(spark, d):
-    return changes.digest(_log(spark, d), T10, T10 + 3 * DAY, by=("producer",)).drop("group_id")
+    return changes.digest(_log(spark, d, T10, T10 + 3 * DAY), T10, T10 + 3 * DAY, by=("producer",)).drop("group_id")
 
 
 def q44_history_known_all(spark, d):
-    return changes.history(_log(spark, d), None, T10, None, T15).select("seq", "id", "change_type", "event_time_ns", "recorded_at_ns")
+    return changes.history(_log(spark, d, T10), None, T10, None, T15).select("seq", "id", "change_type", "event_time_ns", "recorded_at_ns")
+
+
+def q45_resolved_handles(spark, d):
+    t = lambda n: estate.table(spark, d, n)
+    made = lambda n, *parts: t(n).select(F.concat(*[F.lit(p) if p[-1:] in ":=," else F.col(p) for p in parts]).alias("handle"))
+    handles = made("nation", "host:", "host.id=", "n_nationkey").union(made("region", "network.segment:", "network.segment.id=", "r_name"))
+    handles = handles.union(estate.entities(spark, d).where("type = 'service.instance'").select("fingerprint"))
+    handles = handles.union(t("supplier").select(F.concat(F.lit("host:"), F.col("s_suppkey")))).union(t("part").select(F.col("p_partkey").cast("string")))
+    handles = handles.union(t("orders").select(F.concat(F.lit("process:process.pid="), F.col("o_orderkey"), F.lit(",process.creation.time="), F.date_format("o_orderdate", "yyyy-MM-dd"))))
+    return describe.resolved_handles(handles, estate.entities(spark, d))
+
+
+def q46_entity_cards(spark, d):
+    names = {"host": ["host.name"], "service.instance": ["service.name"], "db": ["db.name"], "network.segment": ["segment.name"]}
+    return describe.entity_cards(estate.entities(spark, d), estate.relations(spark, d), names)
+
+
+def q47_relation_page(spark, d):
+    r = estate.relations(spark, d).where("type = 'depends_on' and to_type = 'network.device'")
+    named = r.select(V.relation_id(F.col("type"), F.col("from_id"), F.col("to_id")).alias("relation_id"), "from_id", "to_id")
+    return state.connection(named, "relation_id", "ZGVwZW5kc19vbjo4", 40)  # after depends_on:8
+
+
+def q48_cascade(spark, d):
+    o = estate.table(spark, d, "orders").select(F.lit("default").alias("tenant"), F.lit("depends_on").alias("type"), F.col("o_custkey").alias("from_id"), F.substring("o_orderpriority", 1, 1).cast("bigint").alias("to_id"))
+    return liveness.cascade(_log(spark, d).where("change_type = 'entity.deleted'"), o).select("from_id", "to_id", "event_time_ns", "seq", "delete_source")
+
+
+def q49_speakers(spark, d):
+    said = _speaking(spark, d).withColumns({"speaker": F.when(F.col("speaker").endswith("m3"), "").otherwise(F.col("speaker")), "interval_ns": F.when(F.col("seq") % 3 == 0, 2 * DAY).otherwise(DAY)})
+    return liveness.speakers(said, T15).select("id", F.array_join("asserted_by", ",").alias("asserted_by"), "n_anonymous", "interval_ns")
+
+
+def q50_inert_beliefs(spark, d):
+    b = estate.beliefs(spark, d).withColumn("confidence", F.when(F.col("to_id") % 5 == 0, None).when(F.col("to_id") % 7 == 0, F.col("confidence") + 1).otherwise(F.col("confidence")))
+    return traverse.inert_beliefs(b).select("from_id", "to_id", "reason")
+
+
+def q51_neighbor_page(spark, d):
+    roots = estate.table(spark, d, "nation").select(estate.node("nation", "n_nationkey").alias("id"))
+    return traverse.neighbors(roots, estate.relations(spark, d), ["runs_on", "attached_to"], 50)
+
+
+def q52_attribute_problems(spark, d):
+    keys = F.array(*map(F.lit, ("oper_state", "admin_state", "duplex", "interface.type", "host.chassis.type", "host.virtualization")))
+    words = F.array(*map(F.lit, ("s:unknown", "s:auto", "i:7", "s:")))
+    e = estate.table(spark, d, "events")
+    return describe.attribute_problems(e.select(F.element_at(keys, (F.col("event_id") % 6 + 1).cast("int")).alias("key"), F.element_at(words, (F.floor(F.col("event_id") / 6) % 4 + 1).cast("int")).alias("value")))
+
+
+def q53_vendor_hygiene(spark, d):
+    k = F.col("s_suppkey")
+    vendor = F.when(k % 5 == 0, "s:Cisco").when(k % 5 == 1, "s:hpe").when(k % 5 == 2, "i:729").when(k % 5 == 3, "s: arista")
+    s = estate.table(spark, d, "supplier")
+    made = s.select(V.identity(network_device_id=V.string(F.col("s_name"))).alias("identity"), F.when(vendor.isNull(), F.create_map(F.lit("vendor"), F.lit("s:hpe"))).otherwise(F.create_map(F.lit("hw.vendor"), vendor)).alias("attributes"))
+    return describe.vendor_hygiene(made)
+
+
+def q54_newest_in_window(spark, d):
+    return logs.newest(_log(spark, d, T10, T10 + DAY // 2))
+
+
+def q55_touching_and_tail(spark, d):
+    return logs.touching(logs.tail(_log(spark, d), 500), 7).select("seq", "id", "change_type")
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,18 +12,48 @@ from pyspark.sql import functions as F
 DAY_NS = 86_400 * 10**9
 
 
+#: Ranges of a day's event times that are written apart, so that no tenant's day is one task.
+SLICES = 8
+_stored: dict[tuple[str, str], str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a new one where that is unset (local runs only)."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="strandline-"))
+    return sc.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: lost executors cost a reread."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
 def append(log: DataFrame, path: str) -> None:
     """Add events, partitioned by tenant and day and sorted by event time within files."""
     dated = log.withColumn("event_day", F.floor(F.col("event_time_ns") / DAY_NS).cast("int"))
-    dated.repartition("tenant", "event_day").sortWithinPartitions("event_time_ns", "seq").write.mode("append").partitionBy("tenant", "event_day").parquet(path)
+    part = F.floor(F.pmod(F.col("event_time_ns"), F.lit(DAY_NS)) * SLICES / DAY_NS)
+    dated.repartition("tenant", "event_day", part).sortWithinPartitions("event_day", "event_time_ns", "seq").write.mode("append").partitionBy("tenant", "event_day").parquet(path)
+
+
+def stored(spark: SparkSession, name: str, make) -> str:
+    """The path of the log ``name``, written by ``make()`` when this application first asks for it."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _stored:
+        path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+        append(make(), path)
+        _stored[key] = path
+    return _stored[key]
+
+
+def newest(log: DataFrame) -> DataFrame:
+    """(tenant, newest_ns): the latest event time of each tenant."""
+    return log.groupBy("tenant").agg(F.max("event_time_ns").alias("newest_ns"))
 
 
 def scan(spark: SparkSession, path: str, tenant: str | None = None, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
@@ -41,8 +73,12 @@ def tail(log: DataFrame, seq: int) -> DataFrame:
 
 
 def touching(log: DataFrame, entity: str | int) -> DataFrame:
-    """Events of an entity, and of relations at either of its ends."""
-    return log.where((F.col("id") == entity) | (F.col("from_id") == entity) | (F.col("to_id") == entity))
+    """Events of an entity, and of relations at either of its ends where the log has their columns."""
+    found = F.col("id") == entity
+    for end in ("from_id", "to_id"):
+        if end in log.columns:
+            found |= F.coalesce(F.col(end) == entity, F.lit(False))
+    return log.where(found)
 
 
 def segment_faults(segments: DataFrame) -> DataFrame:

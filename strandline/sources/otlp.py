@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ANY = "struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean>"
+SCALARS = "stringValue: string, intValue: string, doubleValue: double, boolValue: boolean"
+FLAT = f"struct<{SCALARS}>"
+#: A value: a scalar, or an array or list of pairs of scalars.
+ANY = f"struct<{SCALARS}, arrayValue: struct<values: array<{FLAT}>>, kvlistValue: struct<values: array<struct<key: string, value: {FLAT}>>>>"
 KVLIST = f"array<struct<key: string, value: {ANY}>>"
 DEEP = f"struct<stringValue: string, intValue: string, doubleValue: double, boolValue: boolean, kvlistValue: struct<values: {KVLIST}>, arrayValue: struct<values: array<struct<kvlistValue: struct<values: array<struct<key: string, value: struct<stringValue: string, doubleValue: double, kvlistValue: struct<values: {KVLIST}>>>>>>>>>"
 SCHEMA = f"resourceLogs array<struct<resource: struct<attributes: {KVLIST}>, scopeLogs: array<struct<scope: struct<name: string>, logRecords: array<struct<timeUnixNano: string, observedTimeUnixNano: string, eventName: string, attributes: array<struct<key: string, value: {DEEP}>>>>>>>>"
 
 
 def canonical(value: Column) -> Column:
+    """A value's tagged text; null for an empty one."""
+    from ..functions import values as V
+
+    inside = lambda v: F.coalesce(scalar(v), F.lit("n:"))
+    elements, pairs = value["arrayValue"]["values"], value["kvlistValue"]["values"]
+    array = F.when(value["arrayValue"].isNotNull(), V.array(F.transform(F.coalesce(elements, F.expr(f"cast(array() as array<{FLAT}>)")), inside)))
+    rows = F.transform(F.coalesce(pairs, F.expr(f"cast(array() as array<struct<key: string, value: {FLAT}>>)")), lambda p: F.struct(p["key"].alias("key"), inside(p["value"]).alias("value")))
+    return F.coalesce(scalar(value), array, F.when(value["kvlistValue"].isNotNull(), V.kvlist(rows)))
+
+
+def scalar(value: Column) -> Column:
     """A scalar's tagged text; null for what is no scalar."""
     from ..functions import values as V
 

@@ -25,8 +25,8 @@ def test_fingerprints_are_the_golden_ones(spark):
 
 
 def test_doubles(spark):
-    got = first(spark, *[V.display(V.double(F.lit(x))).alias(f"x{k}") for k, x in enumerate([1.0, 1.5, 0.0, 1e21, 1e-7, 123456789.0, 2.5e20, 0.001])])
-    assert list(got) == ["1", "1.5", "0", "1e+21", "1e-07", "123456789", "250000000000000000000", "0.001"]
+    got = first(spark, *[V.display(V.double(F.lit(x))).alias(f"x{k}") for k, x in enumerate([1.0, 1.5, 0.0, 1e21, 1e-7, 123456789.0, 2.5e20, 0.001, 1e6, 999999.5, 1234567.5, -1e7, 0.0001, -0.00012, 0.00001])])
+    assert list(got) == ["1", "1.5", "0", "1e+21", "1e-07", "1.23456789e+08", "2.5e+20", "0.001", "1e+06", "999999.5", "1.2345675e+06", "-1e+07", "0.0001", "-0.00012", "1e-05"]
 
 
 def observed(spark, rows):
