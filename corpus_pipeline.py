@@ -22,13 +22,19 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter or without a clear language go."""
+    """Documents in a learned language; those without a letter or without a clear language go.
+
+    A null or empty text goes; repeated rows are judged each; with nothing to learn from, all go.
+    """
     found = predict(docs, train(docs))
     return _documents(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies."""
+    """One document, that with the smallest doc_id, of each group of near copies; equal rows count once.
+
+    A null doc_id stays only where nothing in its group has an id.
+    """
     return _documents(keep_one(docs))
 
 
@@ -38,7 +44,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; null texts hold none, and an empty benchmark lets all stay."""
     return _documents(without_benchmark(docs, read(spark, sf_dir, "benchmark")))
 
 
@@ -51,12 +57,13 @@ STAGES = [("language_id", language_id), ("near_copies", near_copies), ("repeated
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet and read again."""
+    """All stages over ``documents``; each is written as Parquet and read again. Columns beyond those of documents are not kept."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
     return docs
 
 
-#: Tokens, code lengths and alignments are beyond SQL: the stages are tested against brute force.
+#: Tokens, code lengths and alignments are beyond SQL: each operator is tested against brute force or its
+#: definition, and the chain on a fixture in which the fate of every document is known.
 ORACLE_SQL = None
