@@ -74,11 +74,15 @@ def bucketed(df: DataFrame, key: str, keep: list[str]) -> DataFrame:
     return spark.table(name)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Python tasks take this many rows at once at most: rows with whole texts are large."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Let Python tasks take this many rows, and about ``size`` bytes, at once at most: rows with whole texts are large.
+
+    A batch ends with the row that reaches the size, so a longer text is taken whole.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shuffle_width(spark: SparkSession) -> int:
