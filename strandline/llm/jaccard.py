@@ -305,5 +305,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_no_id)), "__fp": F.xxhash64(text_of())})
     named = lambda df: df.select(F.col("d").alias("__d"), F.col("fp").alias("__fp"))
     kept = IdFilter(named(go), "__d", "__fp").anti(rows)
+    if again.isEmpty():
+        return kept.select(*docs.columns)
     repeated = IdFilter(named(again), "__d", "__fp")
     return repeated.anti(kept).unionByName(repeated.semi(kept).dropDuplicates(["__d", "__fp"])).select(*docs.columns)
