@@ -120,8 +120,8 @@ def endpoint_name(address: Column, port: Column) -> Column:
 def tenant_name(raw: Column) -> Column:
     """The tenant's name: blank is `default`; null where it is none."""
     name = F.trim(raw)
-    return F.when(F.coalesce(name, F.lit("")) == "", "default").when(name.rlike(r"^[A-Za-z0-9._-]{1,64}$"), name)
+    return F.when(F.coalesce(name, F.lit("")) == "", "default").when(name.rlike(r"^[A-Za-z0-9._-]{1,64}\z"), name)
 
 
 def is_mac(c: Column) -> Column:
-    return c.rlike(r"^([0-9A-F]{2}-){5}[0-9A-F]{2}$")
+    return c.rlike(r"^([0-9A-F]{2}-){5}[0-9A-F]{2}\z")

@@ -28,10 +28,10 @@ def relation_shapes(relations: DataFrame) -> DataFrame:
     return relations.groupBy("type", "from_type", "to_type", "structural").agg(F.count("*").alias("n"))
 
 
-def serial_overlaps(devices: DataFrame) -> DataFrame:
-    """(serial, n_devices) that several devices (id, serial, vendor) share, unless they name different vendors."""
-    clean = devices.select("id", F.trim("serial").alias("serial"), F.nullif(F.lower(F.trim("vendor")), F.lit("")).alias("vendor")).where("length(serial) >= 4")
-    return clean.groupBy("serial").agg(F.count_distinct("id").alias("n_devices"), F.count_distinct("vendor").alias("vendors")).where("n_devices > 1 and vendors < 2").drop("vendors")
+def serial_overlaps(devices: DataFrame, *by: str) -> DataFrame:
+    """(serial, n_devices), within ``by`` such as a tenant, that several devices (id, serial, vendor) share, unless they name different vendors."""
+    clean = devices.select(*by, "id", F.trim("serial").alias("serial"), F.nullif(F.lower(F.trim("vendor")), F.lit("")).alias("vendor")).where("length(serial) >= 4")
+    return clean.groupBy(*by, "serial").agg(F.count_distinct("id").alias("n_devices"), F.count_distinct("vendor").alias("vendors")).where("n_devices > 1 and vendors < 2").drop("vendors")
 
 
 def capped(counts: DataFrame, cap: int = 50) -> DataFrame:
@@ -146,3 +146,19 @@ def entity_cards(entities: DataFrame, relations: DataFrame, names: dict[str, lis
     name = F.coalesce(V.display_name(F.col("type"), F.col("attributes"), names), "fingerprint")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     return out.select("id", "type", "fingerprint", name.alias("name"), zero("n_out"), zero("n_in"))
+
+
+def fleet_metrics(entities: DataFrame, relations: DataFrame, log: DataFrame, devices: DataFrame) -> DataFrame:
+    """(metric, label, value) over all tenants; label is a type or empty.
+
+    entities (tenant, id, type), relations, log (tenant, seq), devices (tenant, id, serial,
+    vendor). Tenants are summed: events by each one's newest sequence number, and serials are
+    compared within a tenant only, as estates that never met may have the same.
+    """
+    row = lambda df, name, value: df.agg(F.coalesce(value, F.lit(0)).cast("bigint").alias("value")).select(F.lit(name).alias("metric"), F.lit("").alias("label"), "value")
+    every = F.count("*")
+    serials = devices.where("length(trim(serial)) >= 4").select("tenant", "id").distinct()
+    by_type = capped(entities.groupBy("type").agg(every.alias("n"))).select(F.lit("entities_by_type"), "type", "n")
+    out = row(entities, "entities", every).union(row(relations, "relations", every)).union(row(serials, "serial_population", every)).union(by_type)
+    out = out.union(row(log.groupBy("tenant").agg(F.max("seq").alias("n")), "events", F.sum("n")))
+    return out.union(row(serial_overlaps(devices, "tenant"), "serial_overlaps", every))

@@ -173,3 +173,36 @@ ORACLE_SQL["q52_attribute_problems"] = """WITH a AS (SELECT ['oper_state', 'admi
 ORACLE_SQL["q53_vendor_hygiene"] = f"SELECT count(vendor) AS population, count(*) FILTER (vendor <> 's:hpe') AS non_normative, count(*) FILTER (vendor IS NULL) AS retired FROM ({_DEVICES})"
 ORACLE_SQL["q54_newest_in_window"] = f"WITH {LOG} SELECT 'default' AS tenant, max(event_time_ns) AS newest_ns FROM log WHERE event_time_ns BETWEEN {T10} AND {T10 + DAY // 2} HAVING count(*) > 0"
 ORACLE_SQL["q55_touching_and_tail"] = f"WITH {LOG} SELECT seq, id, change_type FROM log WHERE seq > 500 AND id = 7"
+
+_PROBLEMS = lambda key, rules: "\n".join(["", *[f"{'UNION ALL ' if i else ''}SELECT {key}, '{name}' AS problem, {advisory} AS advisory FROM e WHERE {where}" for i, (name, advisory, where) in enumerate(rules)]])
+ORACLE_SQL["q56_belief_problems"] = """WITH e AS (SELECT *, CASE WHEN left(confidence, 2) IN ('d:', 'i:') THEN TRY_CAST(substr(confidence, 3) AS DOUBLE) END AS c FROM (SELECT CAST(c_custkey AS BIGINT) AS edge,
+  CASE c_custkey % 7 WHEN 6 THEN 'resolves_to' WHEN 5 THEN 'runs_on' ELSE 'same_as' END AS type, [NULL, 'd:0.5', 'i:1', 's:high', 'd:1.5', 'd:-0.25'][c_custkey % 6 + 1] AS confidence,
+  [NULL, ' ', 'rekey', 'serial', 'k8s_api'][c_custkey % 5 + 1] AS basis FROM customer))""" + _PROBLEMS("edge", [
+    ("no basis", True, "type = 'same_as' AND (basis IS NULL OR trim(basis) = '')"), ("no confidence", False, "type = 'same_as' AND confidence IS NULL"),
+    ("confidence is no number", False, "type = 'same_as' AND confidence IS NOT NULL AND c IS NULL"), ("confidence is outside [0, 1]", False, "type = 'same_as' AND c NOT BETWEEN 0 AND 1"),
+    ("confidence is not that of its basis", False, "type = 'same_as' AND c BETWEEN 0 AND 1 AND c <> 1 AND basis IN ('rekey', 'k8s_api', 'vm_id_match')"),
+    ("confidence is read by nothing", True, "type = 'resolves_to' AND confidence IS NOT NULL"),
+])
+_OCTETS = lambda sep: f" || '{sep}' || ".join(f"substr(h, {i}, 2)" for i in range(1, 12, 2))
+ORACLE_SQL["q57_spelling_problems"] = f"""WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS thing, md5(CAST(o_orderkey AS VARCHAR)) AS h FROM orders),
+  u AS (SELECT *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) AS uuid FROM o),
+  e AS (SELECT thing, 'identity' AS field, 'host.id' AS key, 's' AS kind, [h, upper(uuid), uuid, 'web-' || thing, upper(h)][thing % 5 + 1] AS t FROM u
+    UNION ALL SELECT thing, 'identity', 'interface.name', 's', 'eth0' FROM o WHERE thing % 6 = 0 UNION ALL SELECT thing, 'identity', 'tags', 'a', '' FROM o WHERE thing % 9 = 0
+    UNION ALL SELECT thing, 'attributes', CASE WHEN thing % 4 < 2 THEN 'mac' ELSE 'network.device.id' END, 's', [upper({_OCTETS("-")}), {_OCTETS(":")}, 'mac:' || {_OCTETS("-")}, 'serial:' || {_OCTETS("-")}][thing % 4 + 1] FROM o)""" + _PROBLEMS("thing, field, key", [
+    ("raw machine id", False, "key = 'host.id' AND length(t) = 32 AND regexp_full_match(lower(t), '[0-9a-f]+')"),
+    ("upper-case host id", False, "key = 'host.id' AND length(t) = 36 AND t <> lower(t) AND regexp_full_match(t, '[0-9A-Fa-f-]+')"),
+    ("hardware address in another form", False, "(key = 'mac' OR t LIKE 'mac:%') AND NOT regexp_full_match(replace(t, 'mac:', ''), '([0-9A-F]{2}-){5}[0-9A-F]{2}')"),
+    ("retired key in an identity", False, "key = 'interface.name'"), ("value is no scalar", False, "kind = 'a'"),
+])
+ORACLE_SQL["q58_record_problems"] = """WITH e AS (SELECT CAST(event_id AS BIGINT) AS record, event_id % 10 = 8 AS deletes, [NULL, 's:host', 'i:5', 's:', 's:db'][event_id % 5 + 1] AS type, event_id % 7 AS own,
+  [NULL, 'i:60', 'i:-1', 'd:1.5'][event_id % 4 + 1] AS every, event_id % 3 = 0 AS related, event_id % 6 AS producer FROM events WHERE event_id % 10 <> 9)""" + _PROBLEMS("record", [
+    ("no type", False, "type IS NULL"), ("type is no string", False, "type LIKE 'i:%'"), ("type is empty", False, "type = 's:'"), ("no identity", False, "own = 0"), ("identity is empty", False, "own = 1"),
+    ("interval is no integer", False, "every = 'd:1.5'"), ("interval is negative", False, "every = 'i:-1'"), ("relationships on a delete", False, "deletes AND related"), ("anonymous producer", True, "producer < 3"),
+])
+ORACLE_SQL["q59_fleet_metrics"] = f"""WITH {RELS}, e AS ({_CARDS}), d AS (SELECT CASE WHEN (s_suppkey // 2) % 3 = 0 THEN 't' || (s_suppkey % 2) ELSE 't2' END AS tenant, s_suppkey AS id,
+  CASE WHEN s_suppkey % 7 = 0 THEN 'S' ELSE 'SN-' END || (s_suppkey // 2) AS serial, CASE WHEN s_suppkey % 4 = 1 THEN 'other' WHEN s_suppkey % 5 > 0 THEN 'cisco' END AS vendor FROM supplier),
+  n AS (SELECT * FROM d WHERE length(serial) >= 4)
+SELECT 'entities' AS metric, '' AS label, count(*) AS value FROM e UNION ALL SELECT 'relations', '', count(*) FROM rels UNION ALL SELECT 'serial_population', '', count(*) FROM n
+UNION ALL SELECT 'entities_by_type', type, count(*) FROM e GROUP BY type
+UNION ALL SELECT 'events', '', CAST(sum(m) AS BIGINT) FROM (SELECT max(event_id) AS m FROM events GROUP BY user_id % 3)
+UNION ALL SELECT 'serial_overlaps', '', count(*) FROM (SELECT 1 FROM n GROUP BY tenant, serial HAVING count(*) > 1 AND count(DISTINCT vendor) < 2)"""

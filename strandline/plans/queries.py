@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import changes, classify, describe, liveness, retention, state, traverse
+from ..operators import changes, classify, conformance, describe, liveness, retention, state, traverse
 from ..sources import estate, log as logs
 
 DAY = 86_400 * 10**9
@@ -335,4 +335,53 @@ def q55_touching_and_tail(spark, d):
     return logs.touching(logs.tail(_log(spark, d), 500), 7).select("seq", "id", "change_type")
 
 
+def _pick(key, n, *values):
+    """One of ``values`` by the remainder of ``key``."""
+    out = F
+    for i, v in enumerate(values):
+        out = out.when(F.col(key) % n == i, v)
+    return out.otherwise(values[-1])
+
+
+def q56_belief_problems(spark, d):
+    c = estate.table(spark, d, "customer").withColumn("edge", F.col("c_custkey").cast("bigint"))
+    kind = F.when(F.col("edge") % 7 == 6, "resolves_to").when(F.col("edge") % 7 == 5, "runs_on").otherwise("same_as")
+    made = c.select("edge", kind.alias("type"), _pick("edge", 6, None, "d:0.5", "i:1", "s:high", "d:1.5", "d:-0.25").alias("confidence"), _pick("edge", 5, None, " ", "rekey", "serial", "k8s_api").alias("basis"))
+    return conformance.belief_problems(made)
+
+
+def q57_spelling_problems(spark, d):
+    o = estate.table(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("thing"), F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("h"))
+    cut = lambda sep, *ends: F.concat_ws(sep, *[F.substring("h", a + 1, b - a) for a, b in zip((0, *ends), ends)])
+    uuid, octets = cut("-", 8, 12, 16, 20, 32), (2, 4, 6, 8, 10, 12)
+    host = _pick("thing", 5, F.col("h"), F.upper(uuid), uuid, F.concat(F.lit("web-"), "thing"), F.upper("h"))
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    own = F.array_compact(F.array(pair("host.id", V.string(host)), F.when(F.col("thing") % 6 == 0, pair("interface.name", F.lit("s:eth0"))), F.when(F.col("thing") % 9 == 0, pair("tags", F.lit("a:0:")))))
+    low = cut("-", *octets)
+    value = _pick("thing", 4, F.upper(low), cut(":", *octets), F.concat(F.lit("mac:"), low), F.concat(F.lit("serial:"), low))
+    key = F.when(F.col("thing") % 4 < 2, "mac").otherwise("network.device.id")
+    return conformance.spelling_problems(o.select("thing", own.alias("identity"), F.create_map(key, V.string(value)).alias("attributes")))
+
+
+def q58_record_problems(spark, d):
+    e = estate.table(spark, d, "events").select(F.col("event_id").cast("bigint").alias("record"))
+    name = F.when(F.col("record") % 10 == 9, "log").when(F.col("record") % 10 == 8, "entity.delete").otherwise("entity.state")
+    own = V.identity(host_id=V.integer(F.col("record")))
+    identity = F.when(F.col("record") % 7 == 1, F.filter(own, lambda p: F.lit(False))).when(F.col("record") % 7 > 1, own)
+    made = e.select(
+        "record", name.alias("name"), _pick("record", 5, None, "s:host", "i:5", "s:", "s:db").alias("type"), identity.alias("identity"), _pick("record", 4, None, "i:60", "i:-1", "d:1.5").alias("interval"),
+        F.when(F.col("record") % 3 == 0, 1).alias("n_relationships"), _pick("record", 6, None, "s:", "i:3", "s:collector").alias("instance"),
+    )
+    return conformance.record_problems(made)
+
+
+def q59_fleet_metrics(spark, d):
+    tenant = lambda c: F.concat(F.lit("t"), F.col(c) % 3).alias("tenant")
+    s = estate.table(spark, d, "supplier").withColumns({"id": F.col("s_suppkey").cast("bigint"), "box": F.floor(F.col("s_suppkey") / 2)})
+    home = F.when(F.col("box") % 3 == 0, F.concat(F.lit("t"), F.col("id") % 2)).otherwise("t2")
+    devices = s.select(home.alias("tenant"), "id", F.concat(F.when(F.col("id") % 7 == 0, "S").otherwise("SN-"), "box").alias("serial"), F.when(F.col("id") % 4 == 1, "other").when(F.col("id") % 5 > 0, "cisco").alias("vendor"))
+    log = estate.table(spark, d, "events").select(tenant("user_id"), F.col("event_id").alias("seq"))
+    return describe.fleet_metrics(estate.entities(spark, d).withColumn("tenant", tenant("id")), estate.relations(spark, d), log, devices)
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}
