@@ -146,40 +146,47 @@ class Model:
             held_words, total, left, p1 = sent_near.value
             v, w = f["v"].to_numpy(np.int64), f["w"].to_numpy(np.int64)
             (hit_v, at_v), (hit_w, at_w) = _find(held_words, v), _find(held_words, w)
-            out = {"key": _keys(v.view(np.uint64), w.view(np.uint64)), "n": f["n"].to_numpy(), "v": v, "w": w}
+            out = {"v": v, "w": w, "n": f["n"].to_numpy()}
             for c, values, hit, at in (("total", total, hit_v, at_v), ("left", left, hit_v, at_v), ("p1", p1, hit_w, at_w)):
                 out[c] = np.full(len(f), np.nan)
                 out[c][hit] = values[at]
             out["p1"][w == END] = end_p1
             return pd.DataFrame(out), ~hit_v, np.isnan(out["p1"])
 
+        def weighed(f: pd.DataFrame) -> pd.DataFrame:
+            v, w, n = (f[c].to_numpy() for c in ("v", "w", "n"))
+            rest = f["left"] * f["p1"]
+            return pd.DataFrame({"key": _keys(v.view(np.uint64), w.view(np.uint64)), "weight": np.log(((n - discounts[np.minimum(n, 3)]) / f["total"] + rest) / rest)})
+
         def settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 out, lack_v, lack_w = known(f)
-                out = out[~(lack_v | lack_w)]
-                rest = out["left"] * out["p1"]
-                n = out["n"].to_numpy()
-                yield pd.DataFrame({"key": out["key"], "weight": np.log(((n - discounts[np.minimum(n, 3)]) / out["total"] + rest) / rest)})
+                yield weighed(out[~(lack_v | lack_w)])
 
         def lacking(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                out, lack_v, lack_w = known(f)
-                yield out.assign(lack_v=lack_v, lack_w=lack_w)[lack_v | lack_w]
-
-        # Frequent words are never joined on, so no key of these joins has many rows.
-        rest = materialize(pairs.mapInPandas(lacking, "key long, n long, v long, w long, total double, left double, p1 double, lack_v boolean, lack_w boolean"), old)
-        from_v = rest.where("lack_v").drop("total", "left").join(far.select(F.col("word").alias("v"), F.col("total").cast("double").alias("total"), "left"), "v")
-        both = rest.where("not lack_v").unionByName(from_v)
-        from_w = both.where("lack_w").drop("p1").join(far.select(F.col("word").alias("w"), "p1"), "w")
-        both = both.where("not lack_w").unionByName(from_w)
-        fresh = F.col("left") * F.col("p1")
-        joined = both.select("key", "n", F.log(((F.col("n") - by("n", discounts)) / F.col("total") + fresh) / fresh).alias("weight"))
+                _, lack_v, lack_w = known(f)
+                yield f.assign(lack_v=lack_v, lack_w=lack_w)[lack_v | lack_w]
+
+        def filled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out = known(f)[0]
+                yield weighed(out.fillna(f[["total", "left", "p1"]].reset_index(drop=True)))
+
+        # Frequent words are never joined on, so no key of these joins has many rows. Only the
+        # numbers that tasks do not hold are joined; the others are put in beside them.
+        none = F.lit(None).cast("double")
+        rest = materialize(pairs.mapInPandas(lacking, "v long, w long, n long, lack_v boolean, lack_w boolean"), old)
+        from_v = rest.where("lack_v").join(far.select(F.col("word").alias("v"), F.col("total").cast("double").alias("total"), "left"), "v")
+        both = rest.where("not lack_v").withColumns({"total": none, "left": none}).unionByName(from_v)
+        from_w = both.where("lack_w").join(far.select(F.col("word").alias("w"), "p1"), "w")
+        both = both.where("not lack_w").withColumn("p1", none).unionByName(from_w).select("v", "w", "n", "total", "left", "p1")
         of_words = words.where(F.col("word") != END).select(F.col("word").alias("key"), "n", (F.log("p1") + F.log("left") - self.base).alias("weight"))
         least, _ = _at_most(pairs.select("n").unionByName(words.select("n")), held)
 
         def weights(of) -> DataFrame:
             done = of(pairs).mapInPandas(settled, "key long, weight double")
-            return done.unionByName(of(joined).select("key", "weight")).unionByName(of(of_words).select("key", "weight")).select("key", "weight")
+            return done.unionByName(of(both).mapInPandas(filled, "key long, weight double")).unionByName(of(of_words).select("key", "weight")).select("key", "weight")
 
         keys, values = _columns(weights(lambda df: df.where(F.col("n") >= least)), "key", "weight")  # held rows at most
         self.held = keys, values
