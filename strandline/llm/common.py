@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -39,22 +40,35 @@ def drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+@contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, Python tasks may take ``rows`` rows at once: for rows of a few numbers, which take time by the batch."""
+    small_batches(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, keep: list[str] | None = None, rows: int = 0) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
     Lost executors cost a reread, never a recomputation. Shuffle files of the write go with
     its end, as the table stands for them. The table goes when the driver's process ends; a
     caller that knows it to be done with earlier passes ``keep``, which gets the path, and
-    calls ``drop``.
+    calls ``drop``. Batches of Python tasks may have ``rows`` rows.
     """
     spark = df.sparkSession
-    small_batches(spark)
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
-        df.write.parquet(path)
+        with batches(spark, rows):
+            df.write.parquet(path)
     finally:
         spark.conf.set(cleanup, before)
     atexit.register(drop, spark, path)
@@ -63,14 +77,15 @@ def materialize(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, keep: list[str]) -> DataFrame:
+def bucketed(df: DataFrame, key: str, keep: list[str], rows: int = 0) -> DataFrame:
     """``df`` written once into buckets of ``key``, so that a join on it shuffles only the other side; ``keep`` gets the path."""
     spark = df.sparkSession
     width, name = shuffle_width(spark), f"strandline_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     atexit.register(drop, spark, path)
     keep.append(path)
-    df.repartition(width, key).write.format("parquet").bucketBy(width, key).sortBy(key).option("path", path).saveAsTable(name)
+    with batches(spark, rows):
+        df.repartition(width, key).write.format("parquet").bucketBy(width, key).sortBy(key).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitMap, IdFilter, bucketed, chunks, cut, drop, materialize, text_of
+from .common import BitMap, IdFilter, batches, bucketed, chunks, cut, drop, materialize, text_of
 from .textbytes import mix, word_hashes
 
 #: Of the trusted documents one in so many sets thresholds instead of counts.
@@ -19,6 +19,8 @@ QUANTILE = 0.995
 #: Words and bigrams of trusted text whose weights every task holds, those counted most; the others
 #: are joined. It bounds the broadcast and decides where a weight is looked up, never whether.
 HELD = 1 << 18
+#: Rows of a few numbers that Python tasks take at once.
+NARROW = 1 << 14
 #: What stands for words outside a closed vocabulary, and for the end of a text, among word hashes.
 UNKNOWN, END = 0, 1
 
@@ -176,7 +178,7 @@ class Model:
         # Frequent words are never joined on, so no key of these joins has many rows. Only the
         # numbers that tasks do not hold are joined; the others are put in beside them.
         none = F.lit(None).cast("double")
-        rest = materialize(pairs.mapInPandas(lacking, "v long, w long, n long, lack_v boolean, lack_w boolean"), old)
+        rest = materialize(pairs.mapInPandas(lacking, "v long, w long, n long, lack_v boolean, lack_w boolean"), old, NARROW)
         from_v = rest.where("lack_v").join(far.select(F.col("word").alias("v"), F.col("total").cast("double").alias("total"), "left"), "v")
         both = rest.where("not lack_v").withColumns({"total": none, "left": none}).unionByName(from_v)
         from_w = both.where("lack_w").join(far.select(F.col("word").alias("w"), "p1"), "w")
@@ -191,7 +193,7 @@ class Model:
         keys, values = _columns(weights(lambda df: df.where(F.col("n") >= least)), "key", "weight")  # held rows at most
         self.held = keys, values
         self.old: list[str] = []
-        self.tail = bucketed(weights(lambda df: df.where(F.col("n") < least)), "key", self.old)
+        self.tail = bucketed(weights(lambda df: df.where(F.col("n") < least)), "key", self.old, NARROW)
         sent_near.destroy()
         for path in old:
             drop(spark, path)
@@ -216,7 +218,8 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     sent = spark.sparkContext.broadcast((model.vocabulary, *model.held))
     base, end, unknown = model.base, model.end, float(np.log(model.kinds))
     mixed = lambda key: mix(key.view(np.uint64))
-    rest_map = BitMap.of(model.tail.select("key"), lambda frames: (mixed(f["key"].to_numpy(np.int64)) for f in frames), 1)
+    with batches(spark, NARROW):
+        rest_map = BitMap.of(model.tail.select("key"), lambda frames: (mixed(f["key"].to_numpy(np.int64)) for f in frames), 1)
     rest = rest_map.reader()
 
     def score(texts: list[bytes]) -> pd.DataFrame:
