@@ -125,3 +125,25 @@ def tenant_name(raw: Column) -> Column:
 
 def is_mac(c: Column) -> Column:
     return c.rlike(r"^([0-9A-F]{2}-){5}[0-9A-F]{2}\z")
+
+
+def rfc3339(ns: Column) -> Column:
+    """Nanoseconds since 1970 as UTC text, fractions without trailing zeros; the session's time zone does not matter."""
+    second, fraction = F.lit(10**9), F.pmod(ns, F.lit(10**9))
+    seconds = F.call_function("div", ns - fraction, second)
+    of_day = F.pmod(seconds, F.lit(86_400))
+    days = F.call_function("div", seconds - of_day, F.lit(86_400))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    whole = F.timestamp_add("SECOND", of_day.cast("int"), F.timestamp_add("DAY", days.cast("int"), epoch)).cast("string")
+    digits = F.rtrim(F.lpad(fraction.cast("string"), 9, "0"), F.lit("0"))
+    return F.concat(F.replace(whole, F.lit(" "), F.lit("T")), F.when(fraction > 0, F.concat(F.lit("."), digits)).otherwise(""), F.lit("Z"))
+
+
+def parse_rfc3339(text: Column) -> Column:
+    """Nanoseconds since 1970 of a time such as 2024-01-31T10:00:00.5+02:00; null for any other text."""
+    pattern = r"^(\d{4}-\d\d-\d\d)T(\d\d:\d\d:\d\d)(?:\.(\d{1,9}))?(Z|([+-])(\d\d):(\d\d))\z"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    local = F.concat_ws(" ", part(1), part(2)).try_cast("timestamp_ntz")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    ahead = F.when(part(5) == "", 0).otherwise((part(6).try_cast("int") * 60 + part(7).try_cast("int")) * F.when(part(5) == "-", -60).otherwise(60))
+    return F.when(text.rlike(pattern), (F.timestamp_diff("SECOND", epoch, local) - ahead) * 10**9 + F.rpad(part(3), 9, "0").cast("long"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vocabulary import structural
+
 HEARTBEAT = "entity.unchanged"
 
 
@@ -82,3 +84,17 @@ def digest(log: DataFrame, start_ns: int, end_ns: int, examples: int = 5, by: tu
 def touching(log: DataFrame, scope: DataFrame) -> DataFrame:
     """The events of the entities (id) in ``scope``."""
     return log.join(scope.select("id").distinct(), "id", "left_semi")
+
+
+def timeline(entity_log: DataFrame, relation_log: DataFrame, kind: str = "all") -> DataFrame:
+    """Events by the entity they touch (entity, thing, change_type, both times, seq): its own, and those of edges at either end, a loop once.
+
+    ``kind`` is all, entity, relation or structural (edges of structural types).
+    """
+    own = entity_log.select(F.col("id").alias("entity"), F.col("id").cast("string").alias("thing"), "change_type", "event_time_ns", "recorded_at_ns", "seq")
+    edges = relation_log if kind != "structural" else relation_log.where(structural(F.col("type")))
+    ends = F.array_distinct(F.array("from_id", "to_id"))
+    theirs = edges.select(F.explode(ends).alias("entity"), F.concat_ws(">", "type", "from_id", "to_id").alias("thing"), "change_type", "event_time_ns", "recorded_at_ns", "seq")
+    if kind == "entity":
+        return own
+    return theirs if kind in ("relation", "structural") else own.unionByName(theirs)

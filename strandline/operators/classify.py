@@ -109,3 +109,26 @@ def contested_names(named: DataFrame, within_ns: int) -> DataFrame:
     back = Window.partitionBy("id", "name").orderBy("at_ns", "seq")
     again = runs.withColumn("last_ns", F.lag("at_ns").over(back)).where(F.col("at_ns") - F.col("last_ns") <= within_ns)
     return again.groupBy("id").agg(F.count("*").alias("n_returns"))
+
+
+def resolved_edges(edges: DataFrame, identities: DataFrame, known: DataFrame) -> DataFrame:
+    """(edge, from_id, to_id, outcome) of edges (edge, type, from_type, from_identity, to_type, to_identity) between identities.
+
+    An end is the entity (id, fingerprint) of its exact identity, else of the identity in which
+    known aliases (key, alias, canonical) are put right. outcome: resolved, missing (an end is no
+    entity), or collapsed (an alias made both ends one entity, which says nothing).
+    """
+    end = lambda p: F.struct(F.lit(p).alias("end"), F.col(f"{p}_type").alias("of"), F.col(f"{p}_identity").alias("identity"))
+    ends = edges.select("edge", F.explode(F.array(end("from"), end("to"))).alias("r")).select("edge", "r.*")
+    ids = identities.groupBy("fingerprint").agg(F.min("id").alias("id"))
+    exact = ends.withColumn("fingerprint", V.fingerprint(F.col("of"), F.col("identity"))).join(ids, "fingerprint", "left")
+    pairs = exact.where("id is null").select("edge", "end", "of", F.explode("identity").alias("p")).select("edge", "end", "of", "p.key", F.col("p.value").alias("alias"))
+    put_right = pairs.join(known, ["key", "alias"], "left").groupBy("edge", "end", "of").agg(
+        F.array_sort(F.collect_list(F.struct("key", F.coalesce("canonical", "alias").alias("value")))).alias("identity"), F.max(F.col("canonical").isNotNull()).alias("swapped")
+    )  # an identity's few pairs
+    put_right = put_right.where("swapped").withColumn("fingerprint", V.fingerprint(F.col("of"), F.col("identity"))).join(ids, "fingerprint")
+    found = exact.where("id is not null").select("edge", "end", "id", F.lit(False).alias("swapped")).unionByName(put_right.select("edge", "end", "id", "swapped"))
+    of_end = lambda p: F.max(F.when(F.col("end") == p, F.col("id")))
+    both = found.groupBy("edge").agg(of_end("from").alias("from_id"), of_end("to").alias("to_id"), F.max("swapped").alias("swapped"))
+    outcome = F.when(F.col("from_id").isNull() | F.col("to_id").isNull(), "missing").when(F.col("swapped") & (F.col("from_id") == F.col("to_id")), "collapsed").otherwise("resolved")
+    return edges.select("edge").join(both, "edge", "left").select("edge", "from_id", "to_id", outcome.alias("outcome"))

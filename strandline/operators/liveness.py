@@ -58,3 +58,37 @@ def speakers(observed: DataFrame, now_ns: int) -> DataFrame:
     held = holds(observed).where((F.col("start.t") <= now_ns) & (F.col("end.t") > now_ns))
     named = F.when(F.col("speaker") != "", F.col("speaker"))
     return held.groupBy("id").agg(F.array_sort(F.collect_set(named)).alias("asserted_by"), F.count_if(F.col("speaker") == "").alias("n_anonymous"), F.nullif(F.max("interval_ns"), F.lit(0)).alias("interval_ns"))
+
+
+def saved(observed: DataFrame, at_ns: int) -> DataFrame:
+    """(id, speaker, deadline_ns, interval_ns): the assertions held at a time; a deadline is null where nothing was promised."""
+    last = observed.where(F.col("at_ns") <= at_ns).groupBy("id", "speaker").agg(F.max_by(F.struct("kind", "at_ns", "interval_ns"), F.struct("at_ns", "seq")).alias("r")).select("id", "speaker", "r.*")
+    promise = F.when(F.col("interval_ns").between(1, MAX_PROMISE_NS), F.col("interval_ns"))
+    held = last.where("kind = 'state'").select("id", "speaker", (F.col("at_ns") + promise).alias("deadline_ns"), F.coalesce(promise, F.lit(0)).alias("interval_ns"))
+    return held.where(F.col("deadline_ns").isNull() | (F.col("deadline_ns") > at_ns))
+
+
+def restored(held: DataFrame, now_ns: int) -> DataFrame:
+    """Saved assertions after a pause: whoever promised gets one more interval from now at least, a promise too long is void."""
+    void = F.col("interval_ns") > MAX_PROMISE_NS
+    kept = F.when(void, 0).otherwise(F.coalesce("interval_ns", F.lit(0)))
+    deadline = F.when(~F.coalesce(void, F.lit(False)), F.when((kept > 0) & F.col("deadline_ns").isNotNull(), F.greatest("deadline_ns", now_ns + kept)).otherwise(F.col("deadline_ns")))
+    return held.withColumns({"deadline_ns": deadline, "interval_ns": kept})
+
+
+def inherited(edges: DataFrame, held: DataFrame) -> DataFrame:
+    """Edges (edge, from_id, speaker, at_ns, interval_ns) with the deadline they live by.
+
+    Without an interval of its own an edge takes the deadline and interval by which its speaker
+    holds its source; where the speaker does not hold the source there is none.
+    """
+    of = held.select(F.col("id").alias("from_id"), "speaker", F.col("deadline_ns").alias("__d"), F.col("interval_ns").alias("__i"))
+    own = F.col("interval_ns") > 0
+    out = edges.join(of, ["from_id", "speaker"], "left")
+    deadline, interval = F.when(own, F.col("at_ns") + F.col("interval_ns")).otherwise(F.col("__d")), F.when(own, F.col("interval_ns")).otherwise(F.coalesce("__i", F.lit(0)))
+    return out.select("edge", "from_id", "speaker", deadline.alias("deadline_ns"), interval.alias("interval_ns"))
+
+
+def refused_promises(observed: DataFrame) -> DataFrame:
+    """States whose interval is longer than any that is believed."""
+    return observed.where((F.col("kind") == "state") & (F.col("interval_ns") > MAX_PROMISE_NS))

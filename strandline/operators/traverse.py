@@ -128,3 +128,17 @@ def host_of(nodes: DataFrame, entities: DataFrame, relations: DataFrame) -> Data
     far = pick(middle.join(to_host, F.col("mid") == F.col("src")).select("id", F.col("dst").alias("host")))
     found = near.union(far).where("n = 1").select("id", "host").union(nodes.select("id").join(hosts, "id", "left_semi").select("id", F.col("id").alias("host")))
     return nodes.select("id").join(found, "id", "left")
+
+
+def relations_where(relations: DataFrame, relation_type: str | None = None, from_id: int | None = None, to_id: int | None = None) -> DataFrame:
+    """Relations of a type, from an entity, to one, or any of these together."""
+    for column, wanted in (("type", relation_type), ("from_id", from_id), ("to_id", to_id)):
+        if wanted is not None:
+            relations = relations.where(F.col(column) == wanted)
+    return relations
+
+
+def incident(ids: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, type, from_id, to_id) for each relation at either end of the entities (id), a loop once."""
+    at_end = relations.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("id"), "type", "from_id", "to_id")
+    return at_end.join(ids.select("id").distinct(), "id", "left_semi")

@@ -79,6 +79,8 @@ TELEMETRY = f"""SELECT {_node(5, 'o_orderkey')} AS id, 'process.pid' AS key, CAS
   UNION ALL SELECT {_node(5, 'o_orderkey')}, 'service.name', c_name, 'owner attributes' FROM orders JOIN customer ON o_custkey = c_custkey
   UNION ALL SELECT {_node(3, 'c_custkey')}, 'service.instance.id', c_name, 'identity' FROM customer
   UNION ALL SELECT {_node(3, 'c_custkey')}, 'service.name', c_name, 'attributes' FROM customer"""
+ELOG = """seen AS (SELECT o_custkey || '>' || CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS edge, o_orderstatus AS status, epoch_us(o_orderdate) * 1000 AS event_time_ns, o_orderkey AS seq FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) OR o_custkey BETWEEN 1 AND 5),
+      elog AS (SELECT * FROM (SELECT *, CASE WHEN p IS NULL THEN 'relation.added' WHEN p <> status THEN 'relation.attribute_changed' END AS change_type, CASE WHEN p <> status THEN 'status' ELSE '' END AS keys FROM (SELECT *, lag(status) OVER (PARTITION BY edge ORDER BY event_time_ns, seq) AS p FROM seen)) WHERE change_type IS NOT NULL)"""
 _YEAR = 852_076_800 * 10**9
 
 ORACLE_SQL = {
@@ -95,8 +97,7 @@ ORACLE_SQL = {
     "q09_state_as_of": f"WITH {LOG} " + _state("event_time_ns, " + ARRIVED, f"event_time_ns <= {T15}"),
     "q10_as_of_vs_live_delta": f"WITH {LOG}, a AS ({_state(ARRIVED)}), b AS ({_state('event_time_ns, ' + ARRIVED)}) SELECT coalesce(a.id, b.id) AS id, a.status AS live_status, b.status AS as_of_status FROM a FULL JOIN b ON a.id = b.id WHERE a.status IS DISTINCT FROM b.status OR a.bucket IS DISTINCT FROM b.bucket",
     "q11_graph_diff_entities": f"WITH {LOG} " + _diff("log", "id", T10, T11, "entity.created", "entity.deleted", ", state"),
-    "q12_graph_diff_relations": """WITH seen AS (SELECT o_custkey || '>' || CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS edge, o_orderstatus AS status, epoch_us(o_orderdate) * 1000 AS event_time_ns, o_orderkey AS seq FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) OR o_custkey BETWEEN 1 AND 5),
-      elog AS (SELECT * FROM (SELECT *, CASE WHEN p IS NULL THEN 'relation.added' WHEN p <> status THEN 'relation.attribute_changed' END AS change_type, CASE WHEN p <> status THEN 'status' ELSE '' END AS keys FROM (SELECT *, lag(status) OVER (PARTITION BY edge ORDER BY event_time_ns, seq) AS p FROM seen)) WHERE change_type IS NOT NULL) """ + _diff("elog", "edge", _YEAR, _YEAR + 365 * DAY, "relation.added", "relation.removed", ""),
+    "q12_graph_diff_relations": f"WITH {ELOG} " + _diff("elog", "edge", _YEAR, _YEAR + 365 * DAY, "relation.added", "relation.removed", ""),
     "q13_diff_totals": f"WITH {LOG} SELECT outcome, count(*) AS n FROM ({_diff('log', 'id', T10, T11, 'entity.created', 'entity.deleted', '')}) GROUP BY outcome",
     "q14_change_digest": f"WITH {LOG} " + _digest(T10 + DAY, "true", True),
     "q15_digest_scoped": f"WITH {LOG} " + _digest(T10 + 3 * DAY, "id % 10 = 3", False),
@@ -206,3 +207,36 @@ SELECT 'entities' AS metric, '' AS label, count(*) AS value FROM e UNION ALL SEL
 UNION ALL SELECT 'entities_by_type', type, count(*) FROM e GROUP BY type
 UNION ALL SELECT 'events', '', CAST(sum(m) AS BIGINT) FROM (SELECT max(event_id) AS m FROM events GROUP BY user_id % 3)
 UNION ALL SELECT 'serial_overlaps', '', count(*) FROM (SELECT 1 FROM n GROUP BY tenant, serial HAVING count(*) > 1 AND count(DISTINCT vendor) < 2)"""
+
+
+def _rfc3339(ns: str) -> str:
+    return f"""strftime(make_timestamp(({ns}) // 1000000000 * 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ({ns}) % 1000000000 > 0 THEN '.' || rtrim(lpad(CAST(({ns}) % 1000000000 AS VARCHAR), 9, '0'), '0') ELSE '' END || 'Z'"""
+
+
+ORACLE_SQL["q60_restored_from_snapshot"] = f"WITH {LOG} " + _state(ARRIVED)
+ORACLE_SQL["q61_tombstones"] = f"""WITH {LOG}, last AS (SELECT id, arg_max(change_type, ({ARRIVED})) AS now, arg_max(status, ({ARRIVED})) FILTER (change_type NOT IN ('entity.unchanged', 'entity.deleted')) AS status, max(recorded_at_ns) AS deleted_ns, arg_max(seq, ({ARRIVED})) AS q FROM log WHERE recorded_at_ns <= {T15} GROUP BY id)
+  SELECT id, status, {_rfc3339("deleted_ns")} AS deleted_at FROM last WHERE now = 'entity.deleted' AND deleted_ns + {5 * DAY} >= {T15} ORDER BY deleted_ns DESC, q DESC LIMIT 1024"""
+ORACLE_SQL["q62_entity_timeline"] = f"""WITH {LOG}, {ELOG}, x AS (SELECT *, CAST(split_part(edge, '>', 1) AS BIGINT) AS f, CAST(split_part(edge, '>', 2) AS BIGINT) AS t FROM elog)
+  SELECT id AS entity, CAST(id AS VARCHAR) AS thing, change_type, event_time_ns, seq FROM log UNION ALL SELECT unnest(list_distinct([f, t])), 'depends_on>' || edge, change_type, event_time_ns, seq FROM x"""
+ORACLE_SQL["q63_incident_relations"] = f"""WITH {RELS}, r AS (SELECT type || ':' || substr(sha256(type || chr(31) || f || chr(31) || t), 1, 32) AS relation_id, * FROM rels WHERE type = 'runs_on'), b AS (SELECT f AS id, relation_id, f, t, ft AS kind FROM r UNION ALL SELECT t, relation_id, f, t, tt FROM r WHERE f <> t)
+  SELECT id, relation_id, f AS from_id, t AS to_id FROM b WHERE kind IN ('host', 'service.instance')"""
+ORACLE_SQL["q64_fleet_totals"] = f"""WITH {OBS}, t AS (SELECT count(DISTINCT id) AS e, count(*) FILTER (kind = 'delete') AS r, max(seq) AS s, max(seq) FILTER (seq % 2 = 0) AS n, min(event_time_ns) AS h FROM obs GROUP BY id % 3)
+  SELECT CAST(sum(e) AS BIGINT) AS entities, CAST(sum(r) AS BIGINT) AS relations, CAST(sum(s) AS BIGINT) AS seq, max(n) AS snapshot_seq, max(h) AS horizon_ns FROM t"""
+ORACLE_SQL["q65_ingest_counters"] = """WITH r AS (SELECT 't' || (user_id % 5) AS tenant, event_id % 10 NOT IN (7, 9) AS entity, event_id % 6 = 2 AS refused, event_id % 4 = 0 AS unknown, event_id % 3 AS dropped FROM events),
+  c AS (SELECT tenant, count(*) FILTER (entity AND NOT refused) AS handled, count(*) FILTER (NOT entity) AS ignored, count(*) FILTER (entity AND refused) AS rejected, CAST(coalesce(sum(dropped) FILTER (entity), 0) AS BIGINT) AS values_dropped, count(*) FILTER (entity AND NOT refused AND unknown) AS unknown_types FROM r GROUP BY tenant)
+  SELECT tenant, counter, n FROM (UNPIVOT c ON handled, ignored, rejected, values_dropped, unknown_types INTO NAME counter VALUE n)"""
+ORACLE_SQL["q66_refused_promises"] = f"WITH {OBS} SELECT producer, count(*) AS total, max(recorded_at_ns) AS last_ns FROM obs WHERE kind = 'state' AND seq % 9 + 1 > 7 GROUP BY producer"
+_SAVED = OBS + f""", said AS (SELECT id, producer || '/' || scope AS speaker, kind, recorded_at_ns AS said_at, seq, CASE seq % 5 WHEN 0 THEN 0 WHEN 1 THEN 8 ELSE seq % 5 END * {DAY} AS promise FROM obs WHERE recorded_at_ns <= {T15}),
+  newest AS (SELECT *, CASE WHEN promise > {7 * DAY} THEN 0 ELSE promise END AS every FROM (SELECT *, row_number() OVER (PARTITION BY id, speaker ORDER BY said_at DESC, seq DESC) AS k FROM said) WHERE k = 1 AND kind = 'state'),
+  held AS (SELECT id, speaker, CASE WHEN every > 0 THEN said_at + every END AS deadline_ns, every AS interval_ns FROM newest WHERE every = 0 OR said_at + every > {T15})"""
+ORACLE_SQL["q67_restored_deadlines"] = f"WITH {_SAVED} SELECT id, speaker, CASE WHEN interval_ns > 0 THEN greatest(deadline_ns, {T15 + DAY // 2} + interval_ns) END AS deadline_ns, interval_ns FROM held"
+ORACLE_SQL["q68_resolved_edges"] = f"""WITH {BELIEFS}, a AS (SELECT t_name AS alias, min(f_name) AS canonical FROM beliefs WHERE confidence BETWEEN 0.9 AND 1 AND t_name <> f_name GROUP BY t_name HAVING min(f_name) = max(f_name)),
+  ids AS (SELECT c_name AS name, min({_node(3, 'c_custkey')}) AS id FROM customer WHERE c_custkey % 3 > 0 GROUP BY 1), r AS (SELECT n.name, coalesce(i.id, j.id) AS id, i.id IS NULL AND j.id IS NOT NULL AS swapped FROM (SELECT DISTINCT c_name AS name FROM customer) n LEFT JOIN ids i USING (name) LEFT JOIN a ON a.alias = n.name LEFT JOIN ids j ON j.name = a.canonical)
+  SELECT {_node(3, 'b.f')} || '>' || {_node(3, 'b.t')} AS edge, x.id AS from_id, y.id AS to_id, CASE WHEN x.id IS NULL OR y.id IS NULL THEN 'missing' WHEN (x.swapped OR y.swapped) AND x.id = y.id THEN 'collapsed' ELSE 'resolved' END AS outcome FROM beliefs b JOIN r x ON x.name = b.f_name JOIN r y ON y.name = b.t_name"""
+ORACLE_SQL["q69_inherited_deadlines"] = f"""WITH {_SAVED}, e AS (SELECT o_orderkey AS edge, o_custkey AS from_id, 'p' || (o_orderkey % 3) || '/m' || (o_orderkey % 4) AS speaker, o_orderkey % 5 = 0 AS own FROM orders)
+  SELECT edge, from_id, e.speaker, CASE WHEN own THEN {T15 + DAY} ELSE deadline_ns END AS deadline_ns, CASE WHEN own THEN {DAY} ELSE coalesce(interval_ns, 0) END AS interval_ns FROM e LEFT JOIN held ON held.id = from_id AND held.speaker = e.speaker"""
+_H = 820_454_400 * 10**9
+ORACLE_SQL["q70_window_reach"] = f"""WITH w AS (SELECT o_orderkey, epoch_us(o_orderdate) * 1000 + o_orderkey % 1000 * 1000000 AS s FROM orders), r AS (SELECT *, CASE WHEN s >= {_H} THEN 'whole' WHEN s + {30 * DAY} <= {_H} THEN 'empty' ELSE 'partial' END AS reach FROM w)
+  SELECT o_orderkey, reach, CASE WHEN reach <> 'empty' THEN {_rfc3339(f"greatest(s, {_H})")} END AS answerable_from FROM r"""
+_KEYS = {"region": ("network.segment", "network.segment.id", "segment.name"), "nation": ("host", "host.id", "host.name", "status"), "supplier": ("network.device", "network.device.id", "hw.vendor", "chassis.serial"), "customer": ("service.instance", "service.instance.id", "service.name", "segment"), "part": ("db", "db.instance.id", "db.name", "brand"), "orders": ("process", "process.pid", "process.creation.time", "status", "priority")}
+ORACLE_SQL["q71_key_carriers"] = "SELECT key, string_agg(type, ', ' ORDER BY type) AS types, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT '{key}' AS key, '{kind}' AS type, count(*) AS n FROM {table}" for table, (kind, *keys) in _KEYS.items() for key in keys) + ") WHERE n > 0 GROUP BY key"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import changes, classify, conformance, describe, liveness, retention, state, traverse
+from ..operators import changes, classify, conformance, describe, liveness, retention, snapshots, state, statements, traverse
 from ..sources import estate, log as logs
 
 DAY = 86_400 * 10**9
@@ -384,4 +384,76 @@ def q59_fleet_metrics(spark, d):
     return describe.fleet_metrics(estate.entities(spark, d).withColumn("tenant", tenant("id")), estate.relations(spark, d), log, devices)
 
 
+def q60_restored_from_snapshot(spark, d):
+    log = _log(spark, d)
+    snapshot = snapshots.snapshot_events(state.live(state.as_known(log, T15)), None, T15, 0)
+    return _state(snapshots.restored(snapshot, log, T15))
+
+
+def q61_tombstones(spark, d):
+    gone = snapshots.tombstones(_log(spark, d), T15, 5 * DAY)
+    return gone.select("id", V.attribute(F.col("attributes"), "status").alias("status"), V.rfc3339(F.col("deleted_ns")).alias("deleted_at"))
+
+
+def q62_entity_timeline(spark, d):
+    return changes.timeline(_log(spark, d), _edge_log(spark, d)).select("entity", "thing", "change_type", "event_time_ns", "seq")
+
+
+def q63_incident_relations(spark, d):
+    e, r = estate.entities(spark, d).where("type in ('host', 'service.instance')"), traverse.relations_where(estate.relations(spark, d), "runs_on")
+    return traverse.incident(e, r).withColumn("relation_id", V.relation_id(F.col("type"), F.col("from_id"), F.col("to_id"))).select("id", "relation_id", "from_id", "to_id")
+
+
+def q64_fleet_totals(spark, d):
+    e = estate.observations(spark, d).withColumn("tenant", F.col("id") % 3)
+    return statements.fleet_totals(e.groupBy("tenant").agg(
+        F.count_distinct("id").alias("entities"), F.count_if(F.col("kind") == "delete").alias("relations"), F.max("seq").alias("seq"), F.max(F.when(F.col("seq") % 2 == 0, F.col("seq"))).alias("snapshot_seq"), F.min("event_time_ns").alias("horizon_ns")
+    ))
+
+
+def q65_ingest_counters(spark, d):
+    e = estate.table(spark, d, "events")
+    k = F.col("event_id")
+    name = F.when(k % 10 == 9, "log").when(k % 10 == 8, "entity.delete").when(k % 10 < 7, "entity.state")
+    return statements.ingest_counters(e.select(F.concat(F.lit("t"), F.col("user_id") % 5).alias("tenant"), name.alias("name"), _pick("event_id", 6, None, False, True, False).alias("refused"), _pick("event_id", 4, True, None, False).alias("unknown_type"), (k % 3).cast("int").alias("n_dropped")))
+
+
+def q66_refused_promises(spark, d):
+    o = estate.observations(spark, d).select("producer", "kind", F.col("recorded_at_ns").alias("at_ns"), ((F.col("seq") % 9 + 1) * DAY).alias("interval_ns"))
+    return statements.discards(liveness.refused_promises(o), "at_ns", "producer")
+
+
+def _saved(spark, d):
+    promises = F.when(F.col("seq") % 5 == 0, 0).when(F.col("seq") % 5 == 1, 8 * DAY).otherwise(F.col("seq") % 5 * DAY)
+    return liveness.saved(_speaking(spark, d).withColumn("interval_ns", promises), T15)
+
+
+def q67_restored_deadlines(spark, d):
+    return liveness.restored(_saved(spark, d), T15 + DAY // 2)
+
+
+def q68_resolved_edges(spark, d):
+    b = estate.beliefs(spark, d)
+    e = estate.entities(spark, d).where("type = 'service.instance'").select("id", "type", "identity", "fingerprint")
+    side = lambda p: e.select(F.col("id").alias(f"{p}_id"), F.col("type").alias(f"{p}_type"), F.col("identity").alias(f"{p}_identity"))
+    edges = b.select("type", "from_id", "to_id").join(side("from"), "from_id").join(side("to"), "to_id").withColumn("edge", F.concat_ws(">", "from_id", "to_id")).drop("from_id", "to_id")
+    return classify.resolved_edges(edges, e.where(f"id % {SPACE} % 3 > 0"), classify.aliases(b, e))
+
+
+def q69_inherited_deadlines(spark, d):
+    k = F.col("o_orderkey")
+    o = estate.table(spark, d, "orders").select(k.alias("edge"), F.col("o_custkey").alias("from_id"), F.concat(F.lit("p"), k % 3, F.lit("/m"), k % 4).alias("speaker"), F.lit(T15).alias("at_ns"), F.when(k % 5 == 0, DAY).alias("interval_ns"))
+    return liveness.inherited(o, _saved(spark, d))
+
+
+def q70_window_reach(spark, d):
+    start = estate.micros("o_orderdate") * 1000 + F.col("o_orderkey") % 1000 * 10**6
+    reach, first = statements.window_reach(start, start + 30 * DAY, F.lit(820_454_400 * 10**9))  # 1996-01-01
+    return estate.table(spark, d, "orders").select("o_orderkey", reach.alias("reach"), first.alias("answerable_from"))
+
+
+def q71_key_carriers(spark, d):
+    return statements.key_carriers(estate.entities(spark, d)).withColumn("types", F.array_join("types", ", "))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[:1] == "q" and k[1:3].isdigit()}
