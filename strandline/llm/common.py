@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy code takes at once; a longer document is taken alone.
-CHUNK_BYTES = 1 << 18
+CHUNK_BYTES = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -89,7 +89,7 @@ def bucketed(df: DataFrame, key: str, keep: list[str], rows: int = 0) -> DataFra
     return spark.table(name)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 2 << 20) -> None:
     """Let Python tasks take this many rows, and about ``size`` bytes, at once at most: rows with whole texts are large.
 
     A batch ends with the row that reaches the size, so a longer text is taken whole.
@@ -194,6 +194,20 @@ def chunks(frames: Iterator[pd.DataFrame], column: str, size: int = CHUNK_BYTES)
                 yield frame.iloc[i:j]
 
 
+def gathered(frames: Iterator[pd.DataFrame], column: str, size: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    """``frames`` joined to about ``size`` bytes of ``column``, so that what is counted in a run does not shrink with the batches."""
+    parts, total = [], 0
+    for frame in frames:
+        if len(frame):
+            parts.append(frame)
+            total += int(frame[column].str.len().sum())
+        if total >= size:
+            yield pd.concat(parts, ignore_index=True)
+            parts, total = [], 0
+    if parts:
+        yield pd.concat(parts, ignore_index=True)
+
+
 def cut(texts: list, size: int = CHUNK_BYTES) -> Iterator[list]:
     """``texts`` in runs of about ``size`` in length, in order."""
     out, total = [], 0

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, BitMap, IdFilter, chunks, components, cut, drop, materialize, text_of
+from .common import CHUNK_BYTES, BitMap, IdFilter, chunks, components, cut, drop, gathered, materialize, text_of
 from .textbytes import mix, word_shingles
 
 #: Words of a shingle; two sets link when 100 * intersection >= 80 * union, that is
@@ -61,7 +61,7 @@ def common_shingles(docs: DataFrame, old: list[str]) -> tuple[np.ndarray, np.nda
     gets the table of counts.
     """
     def recurring(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in chunks(frames, "text", 8 << 20):
+        for frame in chunks(gathered(frames, "text"), "text", 8 << 20):
             token, n = np.unique(np.concatenate(list(_sets(frame["text"].tolist()))), return_counts=True)
             yield pd.DataFrame({"token": token[n > 2].view(np.int64), "n": n[n > 2]})
 
@@ -152,7 +152,7 @@ def verified(pairs: DataFrame, sources: DataFrame, packed: DataFrame, old: list[
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for frame in chunks(frames, "ta", CHUNK_BYTES // 4):
+        for frame in chunks(frames, "ta", CHUNK_BYTES):
             held = dict(zip(frame["a"].tolist(), frame["ta"].tolist())) | dict(zip(frame["b"].tolist(), frame["tb"].tolist()))
             sets = dict(zip(held, _sets([unpack(t) for t in held.values()])))
             keep = []

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, gathered
 from .textbytes import joined
 
 #: Bytes of context at most.
@@ -57,7 +57,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     chosen = usable.select("doc_id", "lang").withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= TRAINING_DOCUMENTS).select("doc_id", F.col("lang").alias("__lang")).distinct()
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in chunks(frames, "text", 8 << 20):
+        for frame in chunks(gathered(frames, "text"), "text", 8 << 20):
             for lang, own in frame.groupby("lang"):
                 gram, n = np.unique(_grams(*joined([_plain(t) for t in own["text"]])), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "gram": gram.astype(np.int64), "n": n})

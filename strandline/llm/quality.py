@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitMap, IdFilter, batches, bucketed, chunks, cut, drop, materialize, text_of
+from .common import BitMap, IdFilter, batches, bucketed, chunks, cut, drop, gathered, materialize, text_of
 from .textbytes import mix, word_hashes
 
 #: Of the trusted documents one in so many sets thresholds instead of counts.
@@ -40,7 +40,7 @@ def _at_most(table: DataFrame, most: int) -> tuple[int, DataFrame]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts; words are hashes."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in chunks(frames, "text", 8 << 20):
+        for frame in chunks(gathered(frames, "text"), "text", 8 << 20):
             words = np.concatenate([word_hashes(p["text"].tolist())[0] for p in chunks(iter([frame]), "text")])
             word, n = np.unique(words, return_counts=True)
             yield pd.DataFrame({"word": word.view(np.int64), "n": n})
@@ -107,7 +107,7 @@ class Model:
         sent = spark.sparkContext.broadcast(self.vocabulary)
 
         def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in chunks(frames, "text", 8 << 20):
+            for frame in chunks(gathered(frames, "text"), "text", 8 << 20):
                 parts = [_ids(p["text"].tolist(), sent.value)[1:3] for p in chunks(iter([frame]), "text")]
                 v, w = (np.concatenate(x) for x in zip(*parts))
                 order = np.lexsort((w, v))
