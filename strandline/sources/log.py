@@ -14,6 +14,8 @@ DAY_NS = 86_400 * 10**9
 
 #: Ranges of a day's event times that are written apart, so that no tenant's day is one task.
 SLICES = 8
+#: Rows of a bucket, which one task sorts.
+BUCKET_ROWS = 2_000_000
 _stored: dict[tuple[str, str], str] = {}
 
 
@@ -34,6 +36,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back: smaller than a checkpoint, and counted from its footers."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def in_buckets(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written into buckets of ``key``, so many that each stays small: a join by it moves the other side only."""
+    spark = df.sparkSession
+    rows = written(df)
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // BUCKET_ROWS + 1)
+    name = f"strandline_{uuid.uuid4().hex}"
+    rows.repartition(width, key).write.format("parquet").bucketBy(width, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def append(log: DataFrame, path: str) -> None:
     """Add events, partitioned by tenant and day and sorted by event time within files."""
     dated = log.withColumn("event_day", F.floor(F.col("event_time_ns") / DAY_NS).cast("int"))
