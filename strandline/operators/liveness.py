@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import GRACE_NS, MAX_PROMISE_NS
+from ..sources.log import written
 
 FOREVER = (1 << 62) - 1
+#: Edges of one entity that one task joins with its deletions.
+HUB_EDGES = 1 << 14
 
 
 def holds(observed: DataFrame) -> DataFrame:
@@ -44,10 +47,26 @@ def lives(observed: DataFrame) -> DataFrame:
 
 def cascade(deleted: DataFrame, relations: DataFrame) -> DataFrame:
     """Deletes, for ``relation_events``, of all edges of deleted entities (tenant, id, event_time_ns, recorded_at_ns, seq), once a deletion."""
-    edges = relations.select("tenant", "type", "from_id", "to_id").distinct()
-    when = lambda end: deleted.select("tenant", F.col("id").alias(end), "event_time_ns", "recorded_at_ns", "seq")
-    both = edges.join(when("from_id"), ["tenant", "from_id"]).unionByName(edges.where("from_id <> to_id").join(when("to_id"), ["tenant", "to_id"]))
-    return both.distinct().withColumns({"kind": F.lit("delete"), "delete_source": F.lit("cascade")})
+    stamp = ["tenant", "event_time_ns", "recorded_at_ns", "seq"]
+    edges = written(relations.select("tenant", "type", "from_id", "to_id").distinct())
+    once = deleted.select("id", *stamp).distinct()
+    # An edge is met twice by one deletion only where the deletion has two ids.
+    once = written(once.withColumn("shared", F.count("*").over(Window.partitionBy(*stamp)) > 1))
+    both = _at_end(edges, once, "from_id").unionByName(_at_end(edges.where("from_id <> to_id"), once, "to_id"))
+    if not once.where("shared").isEmpty():
+        both = both.where("NOT shared").union(both.where("shared").distinct())
+    return both.drop("shared").withColumns({"kind": F.lit("delete"), "delete_source": F.lit("cascade")})
+
+
+def _at_end(edges: DataFrame, deleted: DataFrame, end: str) -> DataFrame:
+    """Edges with each deletion of the entity at their ``end``; the edges of a hub are dealt out in parts, each with its deletions."""
+    other = "to_id" if end == "from_id" else "from_id"
+    parts = F.ceil(F.count("*") / HUB_EDGES).cast("int")
+    hubs = F.broadcast(edges.groupBy("tenant", end).agg(parts.alias("parts")).where("parts > 1"))  # a row for HUB_EDGES edges at most
+    of = F.coalesce("parts", F.lit(1))
+    when = deleted.withColumnRenamed("id", end).join(hubs, ["tenant", end], "left").withColumn("part", F.explode(F.sequence(F.lit(0), of - 1))).drop("parts")
+    dealt = edges.join(hubs, ["tenant", end], "left").withColumn("part", F.pmod(F.xxhash64("type", other), of).cast("int")).drop("parts")
+    return dealt.join(when.hint("merge"), ["tenant", end, "part"]).select("tenant", "type", "from_id", "to_id", "event_time_ns", "recorded_at_ns", "seq", "shared")
 
 
 def speakers(observed: DataFrame, now_ns: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from strandline.operators import traverse
+from strandline.operators import liveness, traverse
 
 KINDS = ["host", "service.instance", "network.endpoint", "db"]
 
@@ -53,3 +53,18 @@ def test_hop_counts_equal_paths(spark):
         paths, _ = traverse.shortest_paths(roots, relations, odd, 4)
         want = sorted(map(tuple, paths.groupBy("root", "hops").count().collect()))
         assert sorted(map(tuple, traverse.hop_counts(roots, relations, odd, 4).select("root", "hops", "n").collect())) == want
+
+
+def test_cascade_deals_hubs_and_counts_shared_deletions_once(spark, monkeypatch):
+    monkeypatch.setattr(liveness, "HUB_EDGES", 4)
+    rng = random.Random(4)
+    edges = [("t", "depends_on", a, b) for a in range(60) for b in (1, 2)] + [("t", "runs_on", 5, 5), ("t", "runs_on", 1, 2)]
+    gone = [("t", i, 10 * i + k, 7, rng.randrange(3)) for i in (1, 2, 5, 9) for k in range(3)] + [("t", 30, 1, 1, 1), ("t", 1, 1, 1, 1), ("t", 1, 1, 1, 1)]
+    relations = spark.createDataFrame(edges * 2, "tenant string, type string, from_id long, to_id long")
+    deleted = spark.createDataFrame(gone, "tenant string, id long, event_time_ns long, recorded_at_ns long, seq long")
+    rows = liveness.cascade(deleted, relations).select("type", "from_id", "to_id", "event_time_ns", "recorded_at_ns", "seq").collect()
+    want = {(t, a, b, *g[2:]) for _, t, a, b in edges for g in gone if g[1] in (a, b)}
+    assert len(rows) == len(want) and set(map(tuple, rows)) == want
+    near = spark.createDataFrame([("t", "depends_on", a, 1) for a in range(60)], relations.schema)
+    plan = liveness._at_end(near, deleted.selectExpr("*", "false AS shared"), "to_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "part" in plan.split("Join Inner", 1)[1].split("\n")[0]  # a hub's edges meet in no one task
