@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -171,6 +173,14 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def release() -> None:
+    """Give free memory of a Python worker back: workers that wait stand beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not all C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def text_of(name: str = "text") -> Column:
     """The text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
@@ -192,6 +202,8 @@ def chunks(frames: Iterator[pd.DataFrame], column: str, size: int = CHUNK_BYTES)
         for i, j in zip(ends, ends[1:]):
             if j > i:
                 yield frame.iloc[i:j]
+        del frame
+        release()
 
 
 def gathered(frames: Iterator[pd.DataFrame], column: str, size: int = 4 << 20) -> Iterator[pd.DataFrame]:
@@ -219,6 +231,7 @@ def cut(texts: list, size: int = CHUNK_BYTES) -> Iterator[list]:
         total += len(t)
     if out:
         yield out
+    release()
 
 
 class BitMap:

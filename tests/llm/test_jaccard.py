@@ -47,3 +47,23 @@ def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n) if i % 100 != 99], "a long, b long")
     got = {r["node"]: r["root"] for r in components(links, "a", "b").collect()}
     assert got == {i: i // 100 * 100 for i in range(n)}
+
+
+def test_a_worker_gives_free_memory_back():
+    """After many arrays were made and let go, pages return to the system, as another worker's peak stands beside them."""
+    import re
+
+    import numpy as np
+    import pandas as pd
+
+    from strandline.llm.common import chunks
+
+    held = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())))
+    frame = pd.DataFrame({"text": [b"x"]})
+    list(chunks(iter([frame]), "text"))
+    before = held()
+    parts = [np.ones(12_000) for _ in range(1000)]  # 96 MB in pieces that are not mapped on their own
+    last = np.ones(12_000)
+    del parts
+    list(chunks(iter([frame]), "text"))
+    assert held() - before < 20_000 and last.sum() == 12_000
