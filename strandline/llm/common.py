@@ -257,7 +257,15 @@ class BitMap:
 
     @classmethod
     def of(cls, df: DataFrame, hashes, least: int) -> "BitMap":
-        """The hashes that ``hashes`` (frames -> arrays) yields at least once, or twice, over all of ``df``.
+        """The hashes that ``hashes`` (frames -> arrays) yields at least once, or twice, over all of ``df``."""
+        table = np.zeros((256, 1 << cls.BITS - 13), dtype=np.uint32)
+        for r in cls.regions(df, hashes, least, "binary").collect():  # 256 regions of fixed size: 8 MB
+            table[r["shard"]] |= np.frombuffer(r["words"], dtype=np.uint32)
+        return cls(df.sparkSession, table.ravel())
+
+    @classmethod
+    def regions(cls, df: DataFrame, hashes, least: int, kind: str) -> DataFrame:
+        """(shard, words): the map's 256 regions, each as ``kind``, binary or array<int>.
 
         Tasks send packed hashes, by 256 shards, each once for a run of rows with a mark if it
         recurs there; each shard's region of the map is made where the shard is gathered.
@@ -309,15 +317,10 @@ class BitMap:
                         settle(k)
             for k in once:
                 settle(k)
-                yield pd.DataFrame({"shard": [k], "words": [words[k].tobytes()]})
+                yield pd.DataFrame({"shard": [k], "words": [words[k].tobytes() if kind == "binary" else words[k].view(np.int32)]})
 
-        spark = df.sparkSession
         packed = df.mapInPandas(pack, "shard int, h binary, twice binary")
-        regions = packed.repartition(min(256, shuffle_width(spark)), "shard").mapInPandas(region, "shard int, words binary")
-        table = np.zeros((256, 1 << bits - 13), dtype=np.uint32)
-        for r in regions.collect():  # 256 regions of fixed size: 8 MB
-            table[r["shard"]] |= np.frombuffer(r["words"], dtype=np.uint32)
-        return cls(spark, table.ravel())
+        return packed.repartition(min(256, shuffle_width(df.sparkSession)), "shard").mapInPandas(region, f"shard int, words {kind}")
 
     def free(self) -> None:
         """Take the map off all executors; what is computed later must not ask it."""
@@ -336,37 +339,53 @@ class BitMap:
 
 
 class IdFilter:
-    """A ``BitMap`` of keys before shuffle joins on them, so that the rest of a table, with its texts, stays where it is."""
+    """A ``BitMap`` of keys before shuffle joins on them, so that the rest of a table, with its texts, stays where it is.
+
+    The map is a table of 256 regions, which a broadcast join asks by the hash's shard: no Python
+    worker stands beside those of the step that takes the rows.
+    """
 
     def __init__(self, keys: DataFrame, *on: str):
-        self.on = list(on)
+        self.on, self.old = list(on), []
         self.keys = keys.select(*on)
-        self.map = BitMap.of(self.keys.select(F.xxhash64(*on).alias("h")), lambda frames: (f["h"].to_numpy(np.int64).view(np.uint64) for f in frames), 1)
-        hits = self.map.reader()
+        regions = BitMap.regions(self.keys.select(F.xxhash64(*on).alias("h")), lambda frames: (f["h"].to_numpy(np.int64).view(np.uint64) for f in frames), 1, "array<int>")
+        self.regions = materialize(regions, self.old).withColumnsRenamed({"shard": "__shard", "words": "__words"})
 
-        @F.pandas_udf("boolean")
-        def hit(hashes: pd.Series) -> pd.Series:
-            return pd.Series(hits(hashes.to_numpy(np.int64)))
+    def _known(self, df: DataFrame, how: str) -> DataFrame:
+        """The rows of ``df`` that may be in the set (left_semi), or those that are not (left_anti)."""
+        h, low = F.xxhash64(*self.on), (1 << BitMap.BITS - 8) - 1
+        places = [at.bitwiseAND(low).cast("int") for at in (h, F.shiftright(h, 24))]  # as BitMap.places, within the shard
+        bits = [F.call_function("shiftright", F.get("__words", F.shiftright(at, 5)), at.bitwiseAND(31)) for at in places]
+        hit = bits[0].bitwiseAND(bits[1]).bitwiseAND(1) == 1
+        return df.join(F.broadcast(self.regions), (F.shiftrightunsigned(h, 56).cast("int") == F.col("__shard")) & hit, how)  # 8 MB at most
 
-        self._hit = hit
+    def maybe(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df`` whose key is in the set, and a few by chance."""
+        return self._known(df, "left_semi")
 
-    def maybe(self) -> Column:
-        return self._hit(F.xxhash64(*self.on))
+    def never(self, df: DataFrame) -> DataFrame:
+        """The other rows of ``df``."""
+        return self._known(df, "left_anti")
 
     def semi(self, df: DataFrame) -> DataFrame:
         """The rows of ``df`` whose key is in the set."""
-        return df.where(self.maybe()).join(self.keys.distinct().hint("shuffle_hash"), self.on, "left_semi")
+        return self.maybe(df).join(self.keys.distinct().hint("shuffle_hash"), self.on, "left_semi")
 
     def anti(self, df: DataFrame) -> DataFrame:
         """The rows of ``df`` whose key is not in the set; most of them are not shuffled."""
-        return df.where(~self.maybe()).unionByName(df.where(self.maybe()).join(self.keys.distinct().hint("shuffle_hash"), self.on, "left_anti"))
+        return self.never(df).unionByName(self.maybe(df).join(self.keys.distinct().hint("shuffle_hash"), self.on, "left_anti"))
 
     def inner(self, df: DataFrame, more: DataFrame) -> DataFrame:
         """``df`` joined to ``more``, whose keys are those of the set."""
-        return df.where(self.maybe()).join(more.hint("shuffle_hash"), self.on)
+        return self.maybe(df).join(more.hint("shuffle_hash"), self.on)
 
     def left(self, df: DataFrame, more: DataFrame) -> DataFrame:
         """``df`` left-joined to ``more``, which has one row for each key of the set."""
         rest = [c for c in more.columns if c not in self.on]
-        out = df.where(~self.maybe()).withColumns({c: F.lit(None).cast(more.schema[c].dataType) for c in rest})
-        return out.unionByName(df.where(self.maybe()).join(more.hint("shuffle_hash"), self.on, "left"))
+        out = self.never(df).withColumns({c: F.lit(None).cast(more.schema[c].dataType) for c in rest})
+        return out.unionByName(self.maybe(df).join(more.hint("shuffle_hash"), self.on, "left"))
+
+    def free(self) -> None:
+        """Drop the map; what is computed later must not ask it."""
+        for path in self.old:
+            drop(self.keys.sparkSession, path)

@@ -167,7 +167,7 @@ def verified(pairs: DataFrame, sources: DataFrame, packed: DataFrame, old: list[
     texts = materialize(wanted.semi(sources.select("fp", "text")).mapInPandas(pack, "key binary, packed binary").dropDuplicates(["key"]), old)
     of = lambda c: texts.select(F.col("key").alias(c), F.col("packed").alias(f"t{c}"))
     out = materialize(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInPandas(check, "a binary, b binary"), old)
-    wanted.map.free()
+    wanted.free()
     return out
 
 
@@ -262,7 +262,7 @@ def document_classes(docs: DataFrame) -> DataFrame:
     links = set_links(sources.select("fp", "text"), old)
     label = components(links, "a", "b").select(F.col("node").alias("key"), "root")
     out = materialize(classes.join(label, "key", "left").select("doc_id", "d", "fp", "n", F.coalesce("root", "key").alias("root")))
-    beside.map.free()
+    beside.free()
     for path in old:
         drop(spark, path)
     return out

@@ -258,7 +258,7 @@ def _mixed_windows(texts: DataFrame, firsts: DataFrame, length: int, old: list[s
             yield _late_windows(held, length)
 
     seen = materialize(dealt.mapInPandas(windows, "d long, fp long, s long, e long, w1 long, w2 long"), old)
-    named.map.free()
+    named.free()
     open_ = seen.where("e < 0")
     least = open_.groupBy("w1", "w2").agg(F.min(F.struct("d", "s")).alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
     late = open_.join(least, ["w1", "w2"]).where("least < struct(d, s)")
@@ -312,7 +312,7 @@ def _marked(docs: DataFrame, length: int, old: list[str]) -> tuple[DataFrame, li
     firsts = anchor_rows(texts, shared, length).groupBy("a", "b1", "b2").agg(F.min(F.struct("d", "s", "fp", "e")).alias("first")).select("a", "first.*")
     firsts = materialize(firsts, old)
     late = materialize(_mixed_windows(texts, firsts, length, old), old)
-    beside.map.free()
+    beside.free()
     all_ = firsts.select("d", "fp", "s", F.lit(_STAYS).cast("long").alias("e")).unionByName(late)
     all_ = all_.unionByName(copies.select("d", "fp", F.lit(0).cast("long").alias("s"), F.lit(_COPY).cast("long").alias("e")))
     listed = all_.groupBy("d", "fp").agg(F.flatten(F.collect_list(F.array("s", "e"))).alias("marks"))  # as many as a text's length allows
