@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.vocabulary import structural
+from .log import distinct
 
 #: Logical ids: the table's number in the high bits, the row's key below.
 SPACE = 1 << 40
@@ -50,6 +51,11 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("fingerprint", V.fingerprint(F.col("type"), F.col("identity")))
 
 
+def pairs(lines: DataFrame, a: str, b: str) -> DataFrame:
+    """The distinct pairs (a, b) of a table, which is counted from its footers."""
+    return distinct(lines.select(a, b), lines.count())
+
+
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(type, from_id, to_id, from_type, to_type, structural), one row for each edge."""
     t = lambda name: table(spark, sf_dir, name)
@@ -59,9 +65,9 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
         edge(t("nation"), "attached_to", node("nation", "n_nationkey"), node("region", "n_regionkey"), "host", "network.segment")
         .union(edge(t("supplier"), "runs_on", node("supplier", "s_suppkey"), node("nation", "s_nationkey"), "network.device", "host"))
         .union(edge(t("customer"), "runs_on", node("customer", "c_custkey"), node("nation", "c_nationkey"), "service.instance", "host"))
-        .union(edge(lines.select("l_partkey", "l_suppkey").distinct(), "depends_on", node("part", "l_partkey"), node("supplier", "l_suppkey"), "db", "network.device"))
+        .union(edge(pairs(lines, "l_partkey", "l_suppkey"), "depends_on", node("part", "l_partkey"), node("supplier", "l_suppkey"), "db", "network.device"))
         .union(edge(t("orders"), "runs_on", node("orders", "o_orderkey"), node("customer", "o_custkey"), "process", "service.instance"))
-        .union(edge(lines.select("l_orderkey", "l_partkey").distinct(), "depends_on", node("orders", "l_orderkey"), node("part", "l_partkey"), "process", "db"))
+        .union(edge(pairs(lines, "l_orderkey", "l_partkey"), "depends_on", node("orders", "l_orderkey"), node("part", "l_partkey"), "process", "db"))
     )
     return out.withColumn("structural", structural(F.col("type")))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,8 +16,8 @@ DAY_NS = 86_400 * 10**9
 
 #: Ranges of a day's event times that are written apart, so that no tenant's day is one task.
 SLICES = 8
-#: Rows of a bucket, which one task sorts.
-BUCKET_ROWS = 2_000_000
+#: Rows of a bucket, which one task sorts, and of a shuffle's partition, which one task gathers.
+BUCKET_ROWS = 500_000
 _stored: dict[tuple[str, str], str] = {}
 
 
@@ -44,13 +46,35 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_buckets(df: DataFrame, key: str) -> DataFrame:
-    """``df`` written into buckets of ``key``, so many that each stays small: a join by it moves the other side only."""
-    spark = df.sparkSession
-    rows = written(df)
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // BUCKET_ROWS + 1)
+def distinct(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` without repeated rows; there are ``rows`` of it, dealt so that no task gathers many more than BUCKET_ROWS.
+
+    Nothing is gathered before that, by splits of files that grow with the files.
+    """
+    return df.repartition(rows // BUCKET_ROWS + 1, *df.columns).distinct()
+
+
+@contextmanager
+def wide(spark: SparkSession, rows: int = 0) -> Iterator[None]:
+    """Within it, shuffles of ``rows`` rows have so many partitions that each stays small, and are not put together beyond that; files are read in small splits, as a task sorts what it deals to many."""
+    own = {"spark.sql.shuffle.partitions": max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // BUCKET_ROWS + 1), "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m", "spark.sql.files.maxPartitionBytes": "16m"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def in_buckets(rows: DataFrame, key: str) -> DataFrame:
+    """A table (as ``written`` gives) written into buckets of ``key``, so many that each stays small: a join by it moves the other side only."""
+    spark = rows.sparkSession
     name = f"strandline_{uuid.uuid4().hex}"
-    rows.repartition(width, key).write.format("parquet").bucketBy(width, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    with wide(spark, rows.count()):
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.repartition(width, key).write.format("parquet").bucketBy(width, key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 

@@ -3,6 +3,7 @@
 import random
 
 from strandline.operators import liveness, traverse
+from strandline.sources import estate, log
 
 KINDS = ["host", "service.instance", "network.endpoint", "db"]
 
@@ -78,3 +79,25 @@ def test_components_send_no_labels_to_the_driver(spark, monkeypatch):
     got = {r["id"]: r["root"] for r in traverse.components(links, spark.range(60)).collect()}
     assert got == {k: (k if k > 50 or k == 0 else (k - 1) // 7 * 7 + 1) for k in range(60)}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_pairs_of_lines_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(log, "BUCKET_ROWS", 100)
+    rng = random.Random(6)
+    rows = [(rng.randrange(40), rng.randrange(40)) for _ in range(1500)]
+    pairs = estate.pairs(spark.createDataFrame(rows, "a long, b long").coalesce(1), "a", "b")
+    assert sorted(map(tuple, pairs.collect())) == sorted(set(rows))
+    assert pairs.rdd.getNumPartitions() == 16  # no task gathers a split of a file, or what is put together after it
+
+
+def test_levels_have_partitions_by_their_edges(spark, monkeypatch):
+    monkeypatch.setattr(log, "BUCKET_ROWS", 100)
+    widths = []
+    real = traverse.written
+    monkeypatch.setattr(traverse, "written", lambda df: (widths.append(spark.conf.get("spark.sql.shuffle.partitions")), real(df))[1])
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    near = spark.createDataFrame([(r, 1000 + r, 0) for r in range(1200)], "src long, dst long, kind int")
+    placed, _ = traverse._placed(spark.createDataFrame([(r,) for r in range(10)], "id long"))
+    assert [level.count() for level in traverse._walk(placed, near, 3)] == [10, 10, 10]
+    assert int(widths[-1]) >= 13
+    assert (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) == before
