@@ -79,18 +79,6 @@ def materialize(df: DataFrame, keep: list[str] | None = None, rows: int = 0) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, keep: list[str], rows: int = 0) -> DataFrame:
-    """``df`` written once into buckets of ``key``, so that a join on it shuffles only the other side; ``keep`` gets the path."""
-    spark = df.sparkSession
-    width, name = shuffle_width(spark), f"strandline_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    atexit.register(drop, spark, path)
-    keep.append(path)
-    with batches(spark, rows):
-        df.repartition(width, key).write.format("parquet").bucketBy(width, key).sortBy(key).option("path", path).saveAsTable(name)
-    return spark.table(name)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 2 << 20) -> None:
     """Let Python tasks take this many rows, and about ``size`` bytes, at once at most: rows with whole texts are large.
 

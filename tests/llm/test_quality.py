@@ -102,3 +102,28 @@ def test_all_words_are_told_apart(spark, monkeypatch):
     want = brute(texts.values(), [t for i, t in texts.items() if i % 2], {w for t in texts.values() for w in tokens(t)})
     for r in op.perplexities(docs, model).collect():
         assert r["perplexity"] == (pytest.approx(want(texts[r["doc_id"]]), rel=1e-9) if tokens(texts[r["doc_id"]]) else None)
+
+
+def test_bigrams_are_no_rows(spark):
+    """Counts stand packed by shard: no table of the model has a row for each bigram, with its weight beside its key."""
+    import random
+
+    rng = random.Random(5)
+    texts = {i: " ".join(f"w{rng.randrange(8000)}" for _ in range(1000)) for i in range(60)}
+    docs = frame(spark, [(i, t, "en") for i, t in texts.items()])
+    model = op.Model(docs, docs, held=40)
+    assert model.old and sum(spark.read.parquet(path).count() for path in model.old) < 1000
+    model.free()
+
+
+def test_many_runs_and_rounds_give_the_formulas(spark, monkeypatch):
+    monkeypatch.setattr(op, "RUN_BYTES", 3000)
+    monkeypatch.setattr(op, "ROUNDS", 7)
+    texts = corpus(23, 80, 900)
+    docs = frame(spark, [(i, t, "en") for i, t in texts.items()] + [(5, texts[5], "en")])
+    model = op.Model(docs, docs.where("doc_id % 2 = 0"), held=20)
+    want = brute(texts.values(), [t for i, t in texts.items() if i % 2 == 0], {w for t in texts.values() for w in tokens(t)})
+    rows = op.perplexities(docs, model).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        assert r["perplexity"] == (pytest.approx(want(texts[r["doc_id"]]), rel=1e-9) if tokens(texts[r["doc_id"]]) else None)
