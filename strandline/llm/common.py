@@ -219,7 +219,6 @@ def cut(texts: list, size: int = CHUNK_BYTES) -> Iterator[list]:
         total += len(t)
     if out:
         yield out
-    release()
 
 
 class BitMap:

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, BitMap, IdFilter, chunks, components, cut, drop, gathered, materialize, text_of
+from .common import CHUNK_BYTES, BitMap, IdFilter, chunks, components, cut, drop, gathered, materialize, release, text_of
 from .textbytes import mix, word_shingles
 
 #: Words of a shingle; two sets link when 100 * intersection >= 80 * union, that is
@@ -28,8 +28,10 @@ _no_id = -(1 << 63)
 def _sets(texts: list[bytes]) -> Iterator[np.ndarray]:
     for part in cut(texts):
         h, starts = word_shingles(part, WIDTH)
-        for i, j in zip(starts, starts[1:]):
-            yield np.unique(h[i:j])
+        for i, j in zip(starts.tolist(), starts[1:].tolist()):
+            s = np.sort(h[i:j])
+            again = s[1:] == s[:-1]
+            yield s[np.append(True, ~again)] if again.any() else s
 
 
 def _key(shingles: np.ndarray) -> bytes | None:
@@ -48,6 +50,7 @@ def set_classes(keyed: DataFrame) -> DataFrame:
     @F.pandas_udf("n long, key binary")
     def digest(texts: pd.Series) -> pd.DataFrame:
         rows = [(len(s), _key(s)) for s in _sets(texts.tolist())]
+        release()
         return pd.DataFrame(rows, columns=["n", "key"])
 
     return keyed.withColumn("set", digest("text")).select("doc_id", "d", "fp", "set.n", "set.key")
@@ -80,8 +83,25 @@ def common_shingles(docs: DataFrame, old: list[str]) -> tuple[np.ndarray, np.nda
     return token[order], n[order]
 
 
+def _bins(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of 2 ** k bins, at least as many as shingles; 255 stands for 255 or more."""
+    width = 1 << max(len(shingles) - 1, 0).bit_length()
+    at = (shingles & np.uint64(width - 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=width), 255).astype(np.uint8)
+
+
+def _may_link(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether sets with these bins can link: bin by bin they have no more in common than the smaller count."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    if max(x.max(), y.max()) >= 255:
+        return True  # not counted out
+    least = min(len(x), len(y))
+    common = np.minimum(x.reshape(-1, least).sum(axis=0), y.reshape(-1, least).sum(axis=0)).sum()
+    return bool(9 * common >= 4 * (x.sum() + y.sum()))
+
+
 def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, fp, n, tokens): each set's prefix under the order rarest first, packed.
+    """(key, fp, n, tokens, bins): each set's prefix under the order rarest first, and its bins, packed.
 
     The prefix has n - ceil(0.8 n) + 1 shingles: two linked sets share one of them.
     """
@@ -89,22 +109,24 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
 
     def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         token, count = sent.value
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for frame in chunks(frames, "text"):
             rows = []
             for fp, s in zip(frame["fp"].tolist(), _sets(frame["text"].tolist())):
                 n, key = len(s), _key(s)
                 if not n:
                     continue
+                bins = squeeze(_bins(s).tobytes())
                 if len(token):
                     at = np.minimum(np.searchsorted(token, s), len(token) - 1)
                     weight = np.where(token[at] == s, count[at], 0)
                     if weight.any():
                         s = s[np.argsort(weight, kind="stable")]
-                rows.append((key, fp, n, s[: n - (4 * n + 4) // 5 + 1].tobytes()))
+                rows.append((key, fp, n, s[: n - (4 * n + 4) // 5 + 1].tobytes(), bins))
             if rows:
-                yield pd.DataFrame(rows, columns=["key", "fp", "n", "tokens"])
+                yield pd.DataFrame(rows, columns=["key", "fp", "n", "tokens", "bins"])
 
-    return docs.select("fp", "text").mapInPandas(post, "key binary, fp long, n int, tokens binary")
+    return docs.select("fp", "text").mapInPandas(post, "key binary, fp long, n int, tokens binary, bins binary")
 
 
 def shared_postings(packed: DataFrame) -> tuple[DataFrame, BitMap]:
@@ -139,9 +161,10 @@ def _suffix_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
 
 
 def verified(pairs: DataFrame, sources: DataFrame, packed: DataFrame, old: list[str]) -> DataFrame:
-    """The pairs (a, b) whose sets link, after the suffix filter, by exact intersection; a table.
+    """The pairs (a, b) whose sets link, after the filters by bins and suffixes, by exact intersection; a table.
 
-    ``pairs`` is a table of keys. Only texts that a pair names are shipped, compressed: they
+    ``pairs`` is a table of keys. Bins, of a few bits a shingle, tell most pairs that cannot link;
+    only texts that one of the others names are shipped, compressed: they
     take about a third of the bytes of their shingles, which are made again beside the other text.
     """
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,11 +185,22 @@ def verified(pairs: DataFrame, sources: DataFrame, packed: DataFrame, old: list[
                 keep.append(9 * _suffix_bound(x, y, 4) >= need and 9 * len(np.intersect1d(x, y, assume_unique=True)) >= need)
             yield frame.loc[keep, ["a", "b"]]
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = IdFilter(materialize(packed.select("key", "fp").join(named, "key").select("fp").distinct(), old), "fp")
+    def sift(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for frame in frames:
+            x, y = ([np.frombuffer(expand(t), dtype=np.uint8) for t in frame[c].tolist()] for c in ("ta", "tb"))
+            yield frame.loc[[_may_link(p, q) for p, q in zip(x, y)], ["a", "b"]]
+
+    def beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        of = lambda c: table.select(F.col("key").alias(c), F.col(column).alias(f"t{c}"))
+        return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb")
+
+    named = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sketched = materialize(packed.select("key", "fp", "bins").join(named(pairs), "key"), old)
+    pairs = materialize(beside(pairs, sketched, "bins").mapInPandas(sift, "a binary, b binary"), old)
+    wanted = IdFilter(materialize(sketched.select("key", "fp").join(named(pairs), "key").select("fp").distinct(), old), "fp")
     texts = materialize(wanted.semi(sources.select("fp", "text")).mapInPandas(pack, "key binary, packed binary").dropDuplicates(["key"]), old)
-    of = lambda c: texts.select(F.col("key").alias(c), F.col("packed").alias(f"t{c}"))
-    out = materialize(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb").mapInPandas(check, "a binary, b binary"), old)
+    out = materialize(beside(pairs, texts, "packed").mapInPandas(check, "a binary, b binary"), old)
     wanted.free()
     return out
 

@@ -67,3 +67,41 @@ def test_a_worker_gives_free_memory_back():
     del parts
     list(chunks(iter([frame]), "text"))
     assert held() - before < 20_000 and last.sum() == 12_000
+
+
+def test_bins_never_deny_a_link():
+    """What two sets can have in common, from counts by bins, is never less than what they have; most others are told apart."""
+    import numpy as np
+
+    rng, denied = np.random.default_rng(4), 0
+    for k in range(300):
+        n = int(rng.integers(1, 600))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        kept = rng.random(len(x)) < (0.6 if k % 2 else rng.uniform(0.85, 1))
+        y = np.unique(np.append(x[kept], rng.integers(0, 1 << 63, int(n * rng.uniform(0, 0.2))).astype(np.uint64)))
+        if not len(y):
+            continue
+        links = 9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y))
+        may = op._may_link(op._bins(x), op._bins(y))
+        assert may or not links
+        denied += not may
+    assert denied > 100
+    same = np.arange(1000, dtype=np.uint64) << np.uint64(20)  # all in one bin
+    assert op._may_link(op._bins(same), op._bins(same[:900]))
+
+
+def test_texts_of_pairs_that_cannot_link_stay(spark, monkeypatch):
+    """A third of the words changed at one end: prefixes meet, and bins tell that the sets do not link."""
+    base = [[f"t{g}w{i}" for i in range(90)] for g in range(6)]
+    texts = {10 * g + k: " ".join(b[:60] + [f"x{g}{k}{i}" for i in range(30)]) for g, b in enumerate(base) for k in range(3)}
+    asked, own = [], op.IdFilter
+
+    class Asked(own):
+        def __init__(self, keys, *on):
+            asked.append((on, keys.count()))
+            super().__init__(keys, *on)
+
+    monkeypatch.setattr(op, "IdFilter", Asked)
+    rows = op.jaccard_components(frame(spark, texts.items())).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: i for i in texts}
+    assert sum(n for on, n in asked if on == ("fp",)) == 0
