@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitMap, IdFilter, drop, materialize, shuffle_width, text_of
+from .common import BitMap, IdFilter, drop, materialize, release, shuffle_width, text_of
 from .textbytes import gram_hashes, joined, prefix_hash, span_hash
 
 #: Bytes of a repeated string.
@@ -106,6 +106,7 @@ def shared_buckets(texts: DataFrame, length: int) -> list[BitMap]:
             for _, _, parts in _parts(frame["text"].tolist(), length):
                 data, starts = joined(parts)
                 yield anchored_runs(data, starts, prefix_hash(data), length)[2]
+            release()
 
     maps.append(BitMap.of(texts.select("text"), anchors, 2))
     hits = maps[0].reader()
@@ -118,6 +119,7 @@ def shared_buckets(texts: DataFrame, length: int) -> list[BitMap]:
                 s, e, anchor, at = anchored_runs(data, starts, prefix, length)
                 hit = hits(anchor)
                 yield np.concatenate([ids for _, ids in _later(prefix, s[hit], e[hit], at[hit], length)])
+            release()
 
     maps.append(BitMap.of(texts.select("text"), later, 2))
     return maps
@@ -154,6 +156,7 @@ def anchor_rows(texts: DataFrame, shared: list[BitMap], length: int) -> DataFram
             d, fp = frame["d"].to_numpy(np.int64), frame["fp"].to_numpy(np.int64)
             for row, s, e, a, b1, b2 in _hit_runs(frame["text"].tolist(), picker, length):
                 yield pd.DataFrame({"a": a.view(np.int64), "b1": b1.view(np.int64), "b2": b2.view(np.int64), "d": d[row], "fp": fp[row], "s": s, "e": e})
+            release()
 
     return texts.mapInPandas(rows, "a long, b1 long, b2 long, d long, fp long, s long, e long")
 
@@ -348,6 +351,7 @@ def dedup_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for text, spans in zip(texts, _spans(texts, marks.tolist(), picker, length)):
             kept = _kept(text, spans)
             rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+        release()
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     out = materialize(marked.select(F.col("doc_id").cast("long"), digest("__text", "__marks").alias("r")).select("doc_id", "r.*"))
@@ -376,9 +380,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def left(texts: pd.Series, marks: pd.Series) -> pd.Series:
         texts = texts.tolist()
         cut = [_kept(t, spans).decode("utf-8", "ignore") if spans else None for t, spans in zip(texts, _spans(texts, marks.tolist(), picker, length))]
+        release()
         return pd.Series(cut, dtype=object)  # null: nothing is cut
 
-    cut = marked.withColumn("__left", left("__text", "__marks")).where("__left is null or __left <> ''")
+    # Not deterministic, by name only: else Spark puts the filter's own call of it beside this one, with a second Python worker a task.
+    cut = marked.withColumn("__left", left.asNondeterministic()("__text", "__marks")).where("__left is null or __left <> ''")
     out = materialize(cut.withColumn("text", F.coalesce("__left", "text")).select(*docs.columns))
     _clear(docs, old, shared)
     return out

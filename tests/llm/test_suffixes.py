@@ -41,3 +41,12 @@ def test_nulls_repeats_and_nothing(spark):
     kept = op.without_repeats(frame(spark, rows)).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept if r["text"]) == [(4, long), (4, long), (4, "other " + long[:40])]
     assert op.dedup_digests(frame(spark, [])).collect() == []
+
+
+def test_a_task_cuts_each_text_once(spark, monkeypatch):
+    plans, real = [], op.materialize
+    monkeypatch.setattr(op, "materialize", lambda df, *more: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, *more))[1])
+    long = " ".join(str(i) for i in range(60))
+    kept = op.without_repeats(frame(spark, [(1, long), (2, long), (3, f"other {long} more"), (4, None)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, long), (3, "other  more"), (4, None)]
+    assert plans[-1].count("EvalPython") == 1  # a second call would be a second Python worker beside the first
